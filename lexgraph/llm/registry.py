@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, setjoin
+from . import bpe, quality, setjoin, suffixes
 from .tables import read, with_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_groups(read(with_workers(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(read(with_workers(spark), sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(read(with_workers(spark), sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,6 +37,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(with_workers(spark), sf_dir, "documents"), *tokenizer())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_quality_rules, op9_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_suffix_dedup, op7_quality_rules, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
