@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, setjoin, suffixes
+from . import bpe, contamination, quality, secrets, setjoin, suffixes
 from .tables import read, with_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_groups(read(with_workers(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(read(with_workers(spark), sf_dir, "documents")).drop("kept")
 
@@ -37,6 +42,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(with_workers(spark), sf_dir, "documents"), *tokenizer())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_suffix_dedup, op7_quality_rules, op9_byte_bpe)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_dedup, op7_quality_rules, op9_byte_bpe, op10_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": contamination.sql()}
