@@ -9,16 +9,22 @@ n_i - d signatures. Enumerating all n_i signatures per set isn't needed: under o
 set must meet (t common ones of n lie in the first n - t + 1). The order puts rare signatures first, measured by a counting sketch of all shingles of all documents,
 and empty projections last. So boilerplate that a third of all documents share doesn't make signatures, unless a text holds little else.
 
-Only components and links between different texts are wanted, so copies needn't be paired: within the sets that share a signature
-every set is compared with the smallest one (a star); what a star leaves in different components is then compared pair by pair.
-Equal sets are linked by their digest. Links are verified on the whole sets of 64-bit shingle hashes (two different shingles of
-one comparison collide with probability below 1e-12).
+Equal sets are one set from the start (a set is addressed by a 64-bit digest), so exact copies cost nothing further. Sets that share a signature
+are candidates. Each set emits ``REQUIRED`` - 1 signatures more than needed, so a linked pair shares at least ``REQUIRED`` of them:
 
-Skew: signatures travel as packed arrays per (slice of input, bucket). A star is linear in its group, however large. Pair tables are joined
-to sets by document, where Spark splits hot keys.
+* In groups of at most ``SMALL`` sets all pairs are counted, and a pair is compared when it shares enough signatures.
+* In a larger group all members are compared with a hub, the member that shares most signatures with others. Then members outside of the
+  group's largest component are compared with all of its members, in jobs of bounded blocks. Nothing is paired row by row, and no link is lost:
+  a linked pair shares a signature of a large group, or enough of small ones.
+
+Only the edges of a job's components are returned. Links are verified on the whole sets of 64-bit shingle hashes (two different shingles of
+one comparison collide with probability below 1e-12; two sets of n texts with about n^2 / 2^65).
+
+Skew: signatures travel as packed arrays per (slice of input, bucket); comparisons are dealt by (hub, block, chunk). Tables are joined
+by set, where Spark splits hot keys.
 
 Defined results: null, empty or word-less texts have an empty set (n_shingles 0), link with nothing and are their own component; repeated rows link with one another (equal
-sets) and each get a row; a null doc_id takes part under an internal key, but a component's id is its smallest non-null doc_id; further columns are ignored.
+sets) and each get a row; a null doc_id takes part, but a component's id is its smallest non-null doc_id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +38,18 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .tables import cut, drop
+from .tables import cut
 
 SHINGLE = 5
 U64 = tb.U64
 #: Counters of the sketch that orders signatures by rarity. A bound of memory; any order gives right results.
 SKETCH_BITS = 18
 SKETCH_SLICES = 16
+#: Common signatures that a pair must have in small groups; the size up to which a group is small.
+REQUIRED = 4
+SMALL = 8
+#: Left and right sets of one comparison job.
+LEFT, RIGHT = 256, 4096
 _LIMIT = 1 << 40
 
 
@@ -87,25 +98,28 @@ def _sizes(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.concatenate([[0], np.cumsum(size)])
 
 
+def set_ids(owner: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
+    """A 64-bit address of each set; 0 of the empty set."""
+    size, at = _sizes(owner, n_docs)
+    total = np.zeros(len(value) + 1, dtype=U64)
+    np.cumsum(tb.mix(value ^ U64(0x5851F42D4C957F2D)), out=total[1:])
+    return np.where(size > 0, tb.mix((total[at[1:]] - total[at[:-1]]) ^ tb.mix(size.astype(U64))), U64(0))
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1: key, doc_id, size and digest of each set; the task's part of the sketch as rows with a slice number."""
+    """Pass 1: doc_id, size and address of each set; the task's part of the sketch as rows with a slice number."""
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    names = ["key", "doc_id", "n", "digest", "slice", "counts"]
+    names = ["doc_id", "n", "sid", "slice", "counts"]
     for batch in batches:
         for rows, data, offsets in tb.slices(batch, "text"):
             ids = rows.column(rows.schema.get_field_index("doc_id"))
+            n = len(ids)
             owner, value = sets(data, offsets)
-            size, _ = _sizes(owner, len(ids))
             counts += np.bincount((value >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            total = np.zeros(len(value) + 1, dtype=U64)
-            np.cumsum(tb.mix(value ^ U64(0x5851F42D4C957F2D)), out=total[1:])
-            at = np.concatenate([[0], np.cumsum(size)])
-            digest = tb.mix(total[at[1:]] - total[at[:-1]])
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(tb.row_keys(ids, data, offsets).view(np.int64)), ids, pa.array(size), pa.array(digest.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_sizes(owner, n)[0]), pa.array(set_ids(owner, value, n).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     small = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32).reshape(SKETCH_SLICES, -1)
     none = pa.nulls(SKETCH_SLICES, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(SKETCH_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(SKETCH_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=names)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +133,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
 
-def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures each set must emit: (owner, 64-bit signature)."""
+def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures each set must emit: (owner, 64-bit signature, whether one in common suffices)."""
     size, at = _sizes(owner, n_docs)
     band = np.searchsorted(BANDS, size, side="right") - 1
     rarity = sketch[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)]
     spread = tb.mix(value)  # its high bits choose the part; the sort order by value isn't kept
     order = np.lexsort((spread, owner))
     spread, rarity, owner_s = spread[order], rarity[order], owner[order]
-    out_owner, out_sig = [], []
+    out_owner, out_sig, out_mark = [], [], []
     for upper in (False, True):
         inst = band - 1 if upper else band
         use = (size > 0) & (inst >= 0)
@@ -149,24 +163,26 @@ def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.nda
         sig = tb.mix(np.add.reduceat(tb.mix(v), start) ^ tb.mix(part[start] + inst[o[start]].astype(U64) * U64(0xD1342543DE82EF95)))
         rare = np.minimum.reduceat(r, start)
         so = o[start]
-        # empty parts come after all others, in the order of their numbers
+        # d + REQUIRED signatures; a set with fewer filled parts emits what it has, d + 1 at least, and is marked:
+        # any signature in common makes it a candidate. Empty parts come after all others, in the order of their numbers
         filled = np.bincount(so, minlength=n_docs)
+        wanted = d + np.clip(filled - d, 1, REQUIRED)
         short = np.flatnonzero(use & (filled < d + 1))
         for x in short:
             empty = np.setdiff1d(np.arange(parts[x], dtype=U64), part[start][so == x])[: d[x] + 1 - filled[x]]
             so = np.concatenate([so, np.full(len(empty), x)])
             sig = np.concatenate([sig, tb.mix(empty + U64(inst[x]) * U64(0xA24BAED4963EE407))])
-            rare = np.concatenate([rare, np.full(len(empty), np.iinfo(np.int64).max)])
-        order = np.lexsort((sig, rare, so)) if not len(short) else np.lexsort((np.where(rare == np.iinfo(np.int64).max, U64(0), sig), rare, so))
+            rare = np.concatenate([rare, np.iinfo(np.int64).max - int(parts.max()) + empty.astype(np.int64)])
+        order = np.lexsort((sig, rare, so))
         so, sig = so[order], sig[order]
         begin = np.searchsorted(so, np.arange(n_docs))
-        rank = np.arange(len(so)) - begin[so]
-        take = rank <= d[so]
+        take = np.arange(len(so)) - begin[so] < wanted[so]
         out_owner.append(so[take])
         out_sig.append(sig[take])
+        out_mark.append((wanted - d < REQUIRED)[so[take]])
     if not out_sig:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(out_owner), np.concatenate(out_sig)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
+    return np.concatenate(out_owner), np.concatenate(out_sig), np.concatenate(out_mark)
 
 
 def _tokens(n_buckets: int, sketch):
@@ -174,21 +190,26 @@ def _tokens(n_buckets: int, sketch):
         counts = np.frombuffer(sketch.value, dtype=np.uint32).astype(np.int64)
         for batch in batches:
             for rows, data, offsets in tb.slices(batch, "text"):
-                ids = rows.column(rows.schema.get_field_index("doc_id"))
-                keys = tb.row_keys(ids, data, offsets)
+                n = rows.num_rows
                 owner, value = sets(data, offsets)
-                who, sig = signatures(owner, value, len(ids), counts)
+                sid = set_ids(owner, value, n)
+                _, once = np.unique(sid, return_index=True)  # equal sets of a slice emit once
+                keep = np.zeros(n, dtype=bool)
+                keep[once] = True
+                value, owner = value[keep[owner]], owner[keep[owner]]
+                who, sig, mark = signatures(owner, value, n, counts)
                 bucket = ((sig >> U64(40)) * U64(n_buckets) >> U64(24)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                who, sig, bucket = who[order], sig[order], bucket[order]
+                who, sig, mark, bucket = who[order], sig[order], mark[order], bucket[order]
                 cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 blobs, numbers = [], []
                 for b in range(n_buckets):
-                    w, s = who[cuts[b] : cuts[b + 1]], sig[cuts[b] : cuts[b + 1]]
+                    at = slice(cuts[b], cuts[b + 1])
+                    w, s = who[at], sig[at]
                     if len(w):
                         there, local = np.unique(w, return_inverse=True)
-                        low = s & U64((1 << 48) - 1)
-                        blobs.append(len(there).to_bytes(4, "little") + keys[there].tobytes() + local.astype("<u2").tobytes() + low.astype("<u4").tobytes() + (low >> U64(32)).astype("<u2").tobytes())
+                        low = (s & U64((1 << 47) - 1)) | (mark[at].astype(U64) << U64(47))
+                        blobs.append(len(there).to_bytes(4, "little") + sid[there].tobytes() + local.astype("<u2").tobytes() + low.astype("<u4").tobytes() + (low >> U64(32)).astype("<u2").tobytes())
                         numbers.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "tokens"])
 
@@ -206,8 +227,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys[local], low | (high << U64(32))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each task's buckets: star pairs (hub, key), and the groups of three or more as (group, key) for what the stars leave."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each task's buckets: pairs of small groups with the signatures they share there (kind 0: a, b, n), and members of large groups (kind 1: group, set)."""
     buckets: dict[int, list[bytes]] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -215,57 +236,102 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sorted(buckets):
         parts = [_unpacked(x) for x in buckets.pop(b)]
         key, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(sig, kind="stable")
-        key, sig = key[order], sig[order]
-        same = sig[1:] == sig[:-1]
-        inside = np.zeros(len(sig), dtype=bool)
-        inside[1:] |= same
-        inside[:-1] |= same
-        key, sig = key[inside], sig[inside]
-        if not len(key):
-            continue
+        mark, sig = (sig >> U64(47)).astype(bool), sig & U64((1 << 47) - 1)
         order = np.lexsort((key, sig))
-        key, sig = key[order], sig[order]
+        key, sig, mark = key[order], sig[order], mark[order]
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        key, sig = key[fresh], sig[fresh]
+        key, sig, mark = key[fresh], sig[fresh], mark[fresh]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.concatenate([start, [len(key)]]))
-        hub = np.repeat(key[start], count)
-        pair = np.unique(np.stack([hub, key], axis=1)[hub != key], axis=0)
-        # groups of the same members are one group; a group of two is its star
-        total = np.add.reduceat(tb.mix(key.view(U64)), start)
-        name = np.repeat(tb.mix(total ^ count.astype(U64)), count)
-        wide = np.repeat(count > 2, count)
-        member = np.unique(np.stack([name[wide].view(np.int64), key[wide]], axis=1), axis=0)
-        for rows, kind in ((pair, 0), (member, 1)):
-            for i in range(0, len(rows), 200_000):
-                part = rows[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["kind", "a", "b"])
+        pairs = []
+        for size in range(2, SMALL + 1):
+            at = start[count == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    weight = np.where(mark[at + i] | mark[at + j], REQUIRED, 1)
+                    pairs.append(np.stack([key[at + i], key[at + j], weight], axis=1))
+        if pairs and sum(map(len, pairs)):
+            rows = np.concatenate(pairs)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
+            yield from _packed_rows(0, rows[new, 0], rows[new, 1], np.add.reduceat(rows[:, 2], new))
+        large = np.repeat(count > SMALL, count)
+        if large.any():
+            # groups of the same members are one group
+            total = np.add.reduceat(tb.mix(key.view(U64)), start)
+            name = np.repeat(tb.mix(total ^ count.astype(U64)), count).view(np.int64)
+            member, n = np.unique(np.stack([name[large], key[large]], axis=1), axis=0, return_counts=True)
+            yield from _packed_rows(1, member[:, 0].copy(), member[:, 1].copy(), n)
+
+
+def _packed_rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 200_000):
+        part = slice(i, i + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int8)), pa.array(a[part]), pa.array(b[part]), pa.array(n[part].astype(np.int64))], names=["kind", "a", "b", "n"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in tb.slices(batch, "text"):
-            ids = rows.column(rows.schema.get_field_index("doc_id"))
+            n = rows.num_rows
             owner, value = sets(data, offsets)
-            _, at = _sizes(owner, len(ids))
-            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(value)])
-            yield pa.RecordBatch.from_arrays([pa.array(tb.row_keys(ids, data, offsets).view(np.int64)), whole.cast(pa.binary())], names=["key", "members"])
+            _, at = _sizes(owner, n)
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(value)])
+            yield pa.RecordBatch.from_arrays([pa.array(set_ids(owner, value, n).view(np.int64)), whole.cast(pa.binary())], names=["key", "members"])
+
+
+def _compared(percent: int):
+    """Rows (job, side, key, members), sorted by job and side: the edges of each job's components; lefts are compared with all others."""
+
+    def edges(lefts: list[tuple[int, np.ndarray]], rights: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+        flat = np.concatenate([x for _, x in lefts])
+        owner = np.repeat(np.arange(len(lefts)), [len(x) for _, x in lefts])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        size = np.array([len(x) for _, x in lefts])
+        found = []
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for key, members in [*lefts, *rights]:
+            low, high = np.searchsorted(flat, members, "left"), np.searchsorted(flat, members, "right")
+            long = high - low
+            hit = np.repeat(low, long) + np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+            common = np.bincount(owner[hit], minlength=len(lefts))
+            for i in np.flatnonzero(100 * common >= percent * (size + len(members) - common)):
+                other = lefts[i][0]
+                x, y = top(key), top(other)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((key, other))
+        return found
 
-
-def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, lefts, rights = None, [], []
+
+        def done() -> list[tuple[int, int]]:
+            return edges(lefts, rights) if lefts and len(lefts) + len(rights) > 1 else []
+
         for batch in batches:
-            hold = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                r, s = np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)
-                if len(r) > len(s):
-                    r, s = s, r
-                at = np.searchsorted(s, r)
-                common = int(np.count_nonzero(s[np.minimum(at, len(s) - 1)] == r)) if len(r) else 0
-                hold.append(100 * common >= percent * (len(r) + len(s) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hold, pa.bool_())], names=["a", "b", "linked"])
+            out = []
+            for j, side, key, cell in zip(*(batch.column(c) for c in range(3)), batch.column(3), strict=True):
+                j, side, key, members = j.as_py(), side.as_py(), key.as_py(), np.frombuffer(cell.as_buffer(), dtype=U64)
+                if j != job:
+                    out += done()
+                    job, lefts, rights = j, [], []
+                (rights if side else lefts).append((key, members))
+                if len(rights) >= 512:  # rights go through in parts
+                    out += done()
+                    rights = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        if out := done():
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -278,8 +344,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    pass1 = cut(rows.mapInArrow(_facts, "key long, doc_id long, n long, digest long, slice int, counts binary"), "setjoin-facts")
-    facts = pass1.where("slice is null").select("key", "doc_id", "n", "digest")
+    pass1 = cut(rows.mapInArrow(_facts, "doc_id long, n long, sid long, slice int, counts binary"), "setjoin-facts")
+    facts = pass1.where("slice is null").select("doc_id", "n", "sid")
     merged = pass1.where("slice is not null").select("slice", "counts").mapInArrow(_added, "slice int, counts binary").repartition(SKETCH_SLICES, "slice").mapInArrow(_added, "slice int, counts binary")
     whole: dict[int, np.ndarray] = {}  # a sketch of fixed size (1 MB), whatever the input
     for k, x in merged.collect():
@@ -287,44 +353,49 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = spark.sparkContext.broadcast(b"".join(whole[k].tobytes() for k in range(SKETCH_SLICES)) if whole else np.zeros(1 << SKETCH_BITS, np.uint32).tobytes())
 
     tokens = rows.mapInArrow(_tokens(n_buckets, sketch), "bucket int, tokens binary")
-    found = cut(tokens.repartition(n_buckets, "bucket").mapInArrow(_stars, "kind byte, a long, b long"), "setjoin-stars")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-
-    known = facts.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("digest").alias("digest"))
-    same = known.groupBy("n", "digest").agg(F.min("key").alias("root"), F.count("*").alias("copies")).where("copies > 1").select("n", "digest", "root")
-    equal = cut(known.join(same, ["n", "digest"]).where("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b")), "setjoin-equal")
-
-    def different(candidates: DataFrame) -> DataFrame:
-        """Without pairs of equal sets and of sizes too far apart."""
-        x, y = known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("digest").alias("da")), known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("digest").alias("db"))
-        far = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ~((F.col("na") == F.col("nb")) & (F.col("da") == F.col("db")))
-        return candidates.join(x, "a").join(y, "b").where(far).select("a", "b")
-
-    def verified(candidates: DataFrame, label: str) -> DataFrame:
-        asked = cut(different(candidates), label + "-asked")
-        wanted = asked.select(F.col("a").alias("key")).union(asked.select(F.col("b").alias("key"))).distinct()
-        owners = facts.join(wanted, "key", "left_semi").select("doc_id").distinct()
-        texts = rows.join(owners, rows["doc_id"].eqNullSafe(owners["doc_id"]), "left_semi")
-        members = cut(texts.mapInArrow(_set_rows, "key long, members binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), label + "-sets")
-        both = asked.join(members.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
-        return cut(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long, linked boolean"), label)
-
-    first = verified(pairs, "setjoin-links")
-    links = equal.union(first.where("linked").select("a", "b"))
+    found = cut(tokens.repartition(n_buckets, "bucket").mapInArrow(_groups, "kind byte, a long, b long, n long"), "setjoin-groups")
+    known = facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+
+    # small groups: pairs with enough signatures and near enough sizes, one job per left set
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= REQUIRED).select("a", "b")
+    # large groups: members with the hub of their group
+    members = found.where("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key"), "n")
+    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    hubs = members.join(degree, "key").groupBy("name").agg(F.max(F.struct("degree", "key"))["key"].alias("hub"))
+    stars = cut(members.join(hubs, "name").where("key <> hub").select("hub", "key").distinct(), "setjoin-stars")
+    asked = cut(pairs.select(F.col("a").alias("hub"), F.col("b").alias("key")).union(stars).distinct(), "setjoin-asked")
+
+    wanted = asked.select("key").union(asked.select("hub")).distinct()
+    owners = known.join(wanted, known["sid"] == wanted["key"], "left_semi").select("doc_id").distinct()
+    texts = rows.join(owners, rows["doc_id"].eqNullSafe(owners["doc_id"]), "left_semi").select("text")
+    members_of = cut(texts.mapInArrow(_set_rows, "key long, members binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets")
+
+    def compared(jobs: DataFrame, label: str) -> DataFrame:
+        """jobs: job, side (0 left, 1 right), key."""
+        dealt = jobs.join(members_of, "key").select("job", "side", "key", "members").repartition(n_buckets, "job").sortWithinPartitions("job", "side")
+        return cut(dealt.mapInArrow(_compared(percent), "a long, b long"), label)
+
+    chunk = F.pmod(F.xxhash64("key"), F.greatest(F.ceil(F.col("size") / RIGHT), F.lit(1)))
+    sized = asked.join(asked.groupBy("hub").agg(F.count("*").alias("size")), "hub").select("hub", "key", F.xxhash64("hub", chunk).alias("job"))
+    first = sized.select("job", F.lit(1).cast("byte").alias("side"), "key").union(sized.select("job", F.lit(0).cast("byte").alias("side"), F.col("hub").alias("key")).distinct())
+    links = compared(first, "setjoin-links")
     roots = cut(components(links), "setjoin-roots")
 
-    # what the stars leave: members of one group in different components, by pairs that weren't compared yet
-    groups = found.where("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("key")).distinct()
-    labelled = groups.join(roots, groups["key"] == roots["node"], "left").select("name", "key", F.coalesce("root", "key").alias("root"))
-    apart = labelled.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
-    left = cut(labelled.join(apart, "name", "left_semi").join(known, "key").select("name", "key", "root", "n"), "setjoin-left")
-    if left.limit(1).count():
-        x, y = left.select("name", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), left.select("name", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        more = x.join(y, "name").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        second = verified(more.join(done, ["a", "b"], "left_anti"), "setjoin-more")
-        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.where("linked").select("a", "b"))), "setjoin-roots2")
-
-    placed = facts.join(roots, facts["key"] == roots["node"], "left").select("key", "doc_id", "n", F.coalesce("root", "key").alias("root"))
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("row_key"))
+    # what the stars leave: per hub, its members outside of the largest component against all of its members
+    ring = stars.union(stars.select("hub", F.col("hub").alias("key")).distinct())
+    ring = ring.join(roots, ring["key"] == roots["node"], "left").select("hub", "key", F.coalesce("root", "key").alias("root"))
+    per_root = ring.groupBy("hub", "root").agg(F.count("*").alias("size"))
+    main = per_root.groupBy("hub").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.sum("size").alias("size"), (F.sum("size") - F.max("size")).alias("apart")).where("apart > 0")
+    ring = cut(ring.join(main, "hub").select("hub", "key", (F.col("root") != F.col("main")).alias("apart"), F.ceil(F.col("apart") / LEFT).alias("blocks"), F.ceil(F.col("size") / RIGHT).alias("chunks")), "setjoin-ring")
+    if ring.limit(1).count():
+        block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+        part = F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks"))
+        lefts = ring.where("apart").select("hub", "key", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).cast("byte").alias("side"))
+        rights = ring.select("hub", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), part.alias("chunk"), F.lit(1).cast("byte").alias("side"))
+        more = compared(lefts.unionByName(rights).select(F.xxhash64("hub", "block", "chunk").alias("job"), "side", "key"), "setjoin-more")
+        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "setjoin-roots2")
+
+    placed = facts.join(roots, facts["sid"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    names = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = placed.where("n > 0").join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
