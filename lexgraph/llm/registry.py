@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, contamination, quality, secrets, setjoin, suffixes
+from . import bpe, chat, contamination, extraction, quality, secrets, setjoin, sharding, suffixes, warc
 from .tables import read, with_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +19,18 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(with_workers(spark), sf_dir, "pages"))
+
+
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(read(spark, sf_dir, "conversations"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(with_workers(spark), sf_dir, "pages"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.jaccard_groups(read(with_workers(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -38,6 +49,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read(spark, sf_dir, "documents"), sharding.LIMIT)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(with_workers(spark), sf_dir, "documents"), *tokenizer())
 
@@ -46,6 +61,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_dedup, op7_quality_rules, op9_byte_bpe, op10_secret_scan)}
-
-ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": contamination.sql()}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_warc_round_trip, op2_chat_rotation, op3_main_text, op4_ngram_jaccard_join, op5_benchmark_decontamination,
+        op6_suffix_dedup, op7_quality_rules, op8_extendible_sharding, op9_byte_bpe, op10_secret_scan,
+    )
+}
+
+OP1_SQL = """
+WITH page AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+shared AS (SELECT payload_digest, max(page_id) AS first FROM page WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN s.first IS NULL OR s.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN s.first <> page_id THEN s.first END AS refers_to
+FROM page LEFT JOIN shared s USING (payload_digest)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_round_trip": OP1_SQL,
+    "op2_chat_rotation": chat.SQL,
+    "op5_benchmark_decontamination": contamination.sql(),
+    "op8_extendible_sharding": sharding.SQL,
+}

@@ -93,3 +93,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         "doc_id", "row_key", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(_rendered(base), 256).alias("base_sha256"), _rendered(F.concat(base, added)).alias("spans"), F.size(added).cast("long").alias("n_linked"),
     )
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every reported secret of a text replaced by ``mark``; ``chars_col`` follows the new text. Overlapping spans become one mark.
+
+    Texts without spans pass unchanged, null texts stay null. Endpoints stay: they are reported beside secrets but hide nothing.
+    """
+    found = scan(docs, id_col, text_col).where("spans <> ''").select("row_key", "spans").distinct()
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    joined = docs.withColumn("__key", key).join(found, F.col("__key") == found["row_key"], "left")
+    parts = F.transform(F.split("spans", ","), lambda x: F.split(x, ":"))
+    spans = F.array_sort(F.transform(F.filter(parts, lambda p: p[0] != "endpoint"), lambda p: F.struct(p[1].cast("int").alias("start"), p[2].cast("int").alias("stop"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        gap = F.substr(F.col(text_col), state["at"] + 1, x["start"] - state["at"])
+        fresh = F.struct(x["stop"].alias("at"), F.concat(state["out"], gap, F.lit(mark)).alias("out"))
+        inside = F.struct(F.greatest(state["at"], x["stop"]).alias("at"), state["out"].alias("out"))
+        return F.when((x["start"] < state["at"]) & (F.length(state["out"]) > 0), inside).otherwise(fresh)
+
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(F.col(text_col), s["at"] + 1, F.length(text_col))))
+    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean)
+    done = joined.withColumn("__text", text)
+    out = {text_col: F.col("__text"), chars_col: F.when(F.col("spans").isNull(), F.col(chars_col)).otherwise(F.char_length("__text").cast("long"))}
+    return done.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])

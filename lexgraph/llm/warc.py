@@ -80,7 +80,7 @@ def _write(folder: str, roll_bytes: int, level: int, date: str):
                         if sink:
                             sink.close()
                         name, offset = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-                        sink = store.open_output_stream(name)
+                        sink = store.open_output_stream(name, compression=None)  # members are compressed one by one
                     member = pack(record(page, url, payload, digest, refers, revisit, date), level)
                     sink.write(member)
                     files.append(name)
