@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scalars, search, star
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [star, search, scalars]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    return search.QUERIES["tx05_hybrid_fusion"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
