@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Lines that carry no content.
 PAGE_NUMBER = r"^\s*\d{1,4}\s*$"
@@ -54,7 +55,7 @@ _ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x1F00)) if len(unicodedata.
 _BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
