@@ -19,7 +19,7 @@ Every byte that a string of ``length`` bytes covers which also starts anywhere e
 Skew: classes fold exact repeats before bytes are moved; classes join back by (gram, class), where Spark splits hot keys. A gram with more than
 ``max_classes`` different contexts isn't gathered in one task: its windows are counted by 128-bit hashes with map-side combining instead.
 
-Grams are compared by 64-bit, classes by 128-bit hashes. Defined results: a null or empty text has no bytes; texts shorter than ``length`` keep all; repeated rows
+A class is compared by 128 bits, its gram's and its bytes' hashes. Defined results: a null or empty text has no bytes; texts shorter than ``length`` keep all; repeated rows
 are copies of each other (and each get a row); a null doc_id is allowed; further columns are ignored.
 """
 
@@ -73,14 +73,12 @@ def _anchor_rows(length: int, gram: int):
             for rows, data, offsets in tb.slices(batch, "text"):
                 at, value, owner = anchors(data, offsets, length, gram)
                 low, high = np.maximum(offsets[owner], at - (length - gram)), np.minimum(offsets[owner + 1], at + length)
-                first, second = tb.prefix_hash(data), tb.prefix_hash(data[::-1])
-                n = len(data)
+                first = tb.prefix_hash(data)
                 shape = (at - low).astype(U64) << U64(32) | (high - at).astype(U64)
                 one = tb.mix(tb.span_hash(first, low, high) ^ shape)
-                two = tb.mix(tb.span_hash(second, n - high, n - low) + shape)
                 keys = np.asarray(rows.column(rows.schema.get_field_index("row_key")))[owner]
-                columns = [keys, (at - offsets[owner]).astype(np.int32), value.view(np.int64), one.view(np.int64), two.view(np.int64), (low - at).astype(np.int16), (high - at).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row_key", "pos", "gram", "c1", "c2", "low", "high"])
+                columns = [keys, (at - offsets[owner]).astype(np.int32), value.view(np.int64), one.view(np.int64), (low - at).astype(np.int16), (high - at).astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row_key", "pos", "gram", "c1", "low", "high"])
 
     return run
 
@@ -98,7 +96,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for i in range(0, len(begin), 20_000):
                 part = slice(i, i + 20_000)
                 cells = pa.array([raw[a:b] for a, b in zip(begin[part], end[part], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(i, 20_000) for c in ("gram", "c1", "c2", "low", "high")), cells], names=["gram", "c1", "c2", "low", "high", "segment"])
+                yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(i, 20_000) for c in ("gram", "c1", "low", "high")), cells], names=["gram", "c1", "low", "high", "segment"])
 
 
 def repeated_windows(segments: list[bytes], low: np.ndarray, high: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +151,9 @@ def _construct(length: int, gram: int, batch_size: int):
         low, high = (np.asarray(table.column(c)).astype(np.int64) for c in ("low", "high"))
         first, last = repeated_windows(table.column("segment").to_pylist(), low, high, length, gram)
         some = np.flatnonzero(first <= last)
-        names = ["gram", "c1", "c2"]
+        names = ["gram", "c1"]
         found = table.select(names).take(pa.array(some))
-        return pa.RecordBatch.from_arrays([*(found.column(c).combine_chunks() for c in names), pa.array(first[some].astype(np.int32)), pa.array((last[some] + length).astype(np.int32))], names=["gram", "c1", "c2", "from", "to"])
+        return pa.RecordBatch.from_arrays([*(found.column(c).combine_chunks() for c in names), pa.array(first[some].astype(np.int32)), pa.array((last[some] + length).astype(np.int32))], names=["gram", "c1", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -201,7 +199,7 @@ def _window_hashes(length: int):
                 two = tb.span_hash(tb.prefix_hash(data[::-1]), n - at - length, n - at)
                 picked = rows.take(pa.array(owner))
                 start = (low[owner] + step).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(picked.column(picked.schema.get_field_index(c)) for c in ("gram", "c1", "c2")), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(start)], names=["gram", "c1", "c2", "w1", "w2", "start"])
+                yield pa.RecordBatch.from_arrays([*(picked.column(picked.schema.get_field_index(c)) for c in ("gram", "c1")), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(start)], names=["gram", "c1", "w1", "w2", "start"])
 
     return run
 
@@ -238,36 +236,36 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, max_classes: int = 65_536, batch_size: int = 16_384) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    places = cut(rows.select("row_key", "text").mapInArrow(_anchor_rows(length, gram), "row_key long, pos int, gram long, c1 long, c2 long, low smallint, high smallint"), "suffix-anchors")
+    places = cut(rows.select("row_key", "text").mapInArrow(_anchor_rows(length, gram), "row_key long, pos int, gram long, c1 long, low smallint, high smallint"), "suffix-anchors")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    classes = places.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("rep"))
+    classes = places.groupBy("gram", "c1").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("rep"))
     by_gram = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    classes = cut(classes.join(by_gram, "gram").select("gram", "c1", "c2", "n", "kinds", "rep.*"), "suffix-classes")
-    whole = classes.where("n > 1").select("gram", "c1", "c2", F.col("low").cast("int").alias("from"), F.col("high").cast("int").alias("to"))
-
-    wanted = classes.where("kinds > 1").groupBy("row_key").agg(F.collect_list(F.struct("pos", "gram", "c1", "c2", "low", "high")).alias("wanted"))
-    # repeated rows share a key; any one of them has the text
-    owners = rows.join(wanted.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).join(wanted, "row_key")
-    shape = "gram long, c1 long, c2 long, low smallint, high smallint, segment binary"
-    segments = owners.select("text", "wanted").mapInArrow(_cut_segments, shape)
+    classes = cut(classes.join(by_gram, "gram").select("gram", "c1", "n", "kinds", "rep.*"), "suffix-classes")
+    whole = classes.where("n > 1").select("gram", "c1", F.col("low").cast("int").alias("from"), F.col("high").cast("int").alias("to"))
+
+    wanted = classes.where("kinds > 1").groupBy("row_key").agg(F.collect_list(F.struct("pos", "gram", "c1", "low", "high")).alias("wanted"))
+    # repeated rows share a key and fetch the same segment twice, rightly: it is repeated. The columns are those of the last join, so its exchange of texts serves both
+    owners = rows.join(wanted, "row_key")
+    shape = "gram long, c1 long, low smallint, high smallint, segment binary"
+    segments = owners.select("row_key", "doc_id", "text", "wanted").mapInArrow(_cut_segments, shape)
     hot_grams = classes.where(F.col("kinds") > max_classes).select("gram").distinct()
-    found = "gram long, c1 long, c2 long, `from` int, `to` int"
+    found = "gram long, c1 long, `from` int, `to` int"
     if hot_grams.limit(1).count():
         segments = cut(segments, "suffix-segments")
-        hot = segments.join(hot_grams, "gram", "left_semi").mapInArrow(_window_hashes(length), "gram long, c1 long, c2 long, w1 long, w2 long, start int")
+        hot = segments.join(hot_grams, "gram", "left_semi").mapInArrow(_window_hashes(length), "gram long, c1 long, w1 long, w2 long, start int")
         hot = cut(hot, "suffix-windows")
         same = ["gram", "start", "w1", "w2"]  # one window stands in the segments of several anchors, but once at a start of one gram
         twice = hot.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
-        by_count = hot.join(twice, same, "left_semi").groupBy("gram", "c1", "c2").agg(F.min("start").alias("from"), (F.max("start") + length).alias("to"))
+        by_count = hot.join(twice, same, "left_semi").groupBy("gram", "c1").agg(F.min("start").alias("from"), (F.max("start") + length).alias("to"))
         segments = segments.join(hot_grams, "gram", "left_anti")
     else:
         by_count = None
     built = segments.repartition(n_parts, "gram").sortWithinPartitions("gram").mapInArrow(_construct(length, gram, batch_size), found)
     cover = whole.union(built) if by_count is None else whole.union(built).union(by_count)
-    cover = cover.groupBy("gram", "c1", "c2").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    cover = cover.groupBy("gram", "c1").agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
-    spans = places.join(cover, ["gram", "c1", "c2"]).select("row_key", (F.col("pos") + F.col("from")).alias("from"), (F.col("pos") + F.col("to")).alias("to")).distinct()
+    spans = places.join(cover, ["gram", "c1"]).select("row_key", (F.col("pos") + F.col("from")).alias("from"), (F.col("pos") + F.col("to")).alias("to")).distinct()
     spans = spans.groupBy("row_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    joined = rows.join(spans, "row_key", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, "row_key", "left").select("row_key", "doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
