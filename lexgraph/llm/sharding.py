@@ -4,7 +4,7 @@ A row's hash gives 60 bits. The directory is indexed by the first bits; a bucket
 shard fits. Sizes come from a histogram of hash prefixes (map-side combined), ``step`` bits deeper than an even split would need; all depths of the
 histogram are summed at once and a bucket is a shard when it fits and its parent doesn't. Cells that are still too large are counted again, ``step`` bits deeper, over their own rows only.
 
-Rows whose 60 bits are equal (copies of one row; or a text beyond the limit) can't be split by bits: they overflow into pages that hold as many
+A single row beyond the limit is a shard of its own. Rows whose 60 bits are equal (copies of one row) can't be split by bits: they overflow into pages that hold as many
 rows as fit, one at least, numbered within input partitions, so no task gathers them.
 
 The hash covers id and text, so a hot id or source doesn't make a hot bucket. Shards are stable: they depend on the rows and the limit only (pages of equal rows are interchangeable).
@@ -35,14 +35,19 @@ def _prefix(h: Column, depth: Column) -> Column:
     return F.call_function("shiftright", h, (F.lit(BITS) - depth).cast("int"))
 
 
+def fits(limit: int) -> Column:
+    """Whether a bucket is a shard: within the limit, or one row that no split can shrink."""
+    return (F.col("bytes") <= limit) | (F.col("rows") == 1)
+
+
 def leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Shards among the buckets of depth ``low`` to ``high``: cells (prefix of ``high`` bits, bytes, rows) -> depth, prefix, bytes, rows. Of the deepest cells, those beyond the limit too."""
     depth = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")
     sums = cells.select("prefix", "bytes", "rows", depth).select("depth", F.call_function("shiftright", "prefix", (F.lit(high) - F.col("depth")).cast("int")).alias("prefix"), "bytes", "rows")
     sums = sums.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    parents = sums.where(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    parents = sums.where(~fits(limit)).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
     roots = sums.where(F.col("depth") == low).select("depth", "prefix")
-    return sums.join(parents.union(roots), ["depth", "prefix"], "left_semi").where((F.col("bytes") <= limit) | (F.col("depth") == high))
+    return sums.join(parents.union(roots), ["depth", "prefix"], "left_semi").where(fits(limit) | (F.col("depth") == high))
 
 
 def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", step: int = 6) -> DataFrame:
@@ -54,10 +59,10 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     while True:
         cells = open_rows.groupBy(_prefix(F.col("h"), F.lit(high)).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
         now = cut(leaves(cells, low, high, limit), "shard-leaves")
-        fit = now.where(F.col("bytes") <= limit) if high < BITS else now
+        fit = now.where(fits(limit)) if high < BITS else now
         level = open_rows.join(fit.select("depth", "prefix", "bytes", "rows").withColumn("cell_low", F.call_function("shiftleft", "prefix", (F.lit(high) - F.col("depth")).cast("int"))).withColumn("cell_n", F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(high) - F.col("depth")).cast("int"))).select("depth", "prefix", "bytes", "rows", F.explode(F.sequence("cell_low", F.col("cell_low") + F.col("cell_n") - 1)).alias("cell")), _prefix(open_rows["h"], F.lit(high)) == F.col("cell"))
         found.append(level.select("doc_id", "n_bytes", "h", "depth", "prefix", "bytes", "rows"))
-        rest = now.where(F.col("bytes") > limit)
+        rest = now.where(~fits(limit))
         if high >= BITS or not rest.limit(1).count():
             break
         open_rows = cut(open_rows.join(rest.select("prefix"), _prefix(open_rows["h"], F.lit(high)) == F.col("prefix"), "left_semi"), "shard-open")
@@ -67,10 +72,10 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         placed = placed.union(more)
     bits = F.substring(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), BITS, "0"), -1 * BITS, BITS)
     named = placed.withColumn("bits", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.substr(bits, F.lit(BITS + 1) - F.col("depth"), F.col("depth"))))
-    fits = named.where(F.col("bytes") <= limit).select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), F.lit(0).cast("long").alias("page"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
-    over = named.where(F.col("bytes") > limit)
+    whole = named.where(fits(limit)).select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), F.lit(0).cast("long").alias("page"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+    over = named.where(~fits(limit))
     if high < BITS or not rest.limit(1).count():
-        return fits
+        return whole
     # equal hashes: rows of one size; number them across partitions without gathering a bucket
     over = cut(over.withColumn("at", F.spark_partition_id()), "shard-overflow")
     counts = over.groupBy("h", "at").agg(F.count("*").alias("n"))
@@ -78,11 +83,11 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     number = F.row_number().over(W.partitionBy("h", "at").orderBy("doc_id")) - 1 + F.col("before")
     each = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1))
     paged = over.join(before, ["h", "at"]).withColumn("number", number).withColumn("page", F.floor(F.col("number") / each)).withColumn("held", F.least(each, F.col("rows") - F.col("page") * each))
-    return fits.union(paged.select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), "page", F.col("held") * F.col("n_bytes"), "held"))
+    return whole.union(paged.select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), "page", F.col("held") * F.col("n_bytes"), "held"))
 
 
 def directory(assigned: DataFrame) -> DataFrame:
-    """The directory of :func:`shards`: entry (bits of the global depth), depth and prefix of the shard it points to."""
+    """The directory of :func:`shards`: entry (bits of the global depth), depth and prefix of the shard it points to. Entries of hash ranges without rows are left out."""
     each = assigned.select("depth", "prefix").distinct()
     depth = each.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("top"))
     free = F.expr("cast(pow(2, top - depth) as bigint)")
@@ -99,6 +104,6 @@ WITH hashed AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, ''))))[1:15] AS BIGINT) AS h FROM documents),
 sums AS ({_PREFIXES}),
 leaf AS (
-  SELECT s.* FROM sums s LEFT JOIN sums p ON p.depth = s.depth - 1 AND p.prefix = s.prefix >> 1 WHERE s.bytes <= {LIMIT} AND (s.depth = 0 OR p.bytes > {LIMIT}))
+  SELECT s.* FROM sums s LEFT JOIN sums p ON p.depth = s.depth - 1 AND p.prefix = s.prefix >> 1 WHERE (s.bytes <= {LIMIT} OR s.rows = 1) AND (s.depth = 0 OR (p.bytes > {LIMIT} AND p.rows > 1)))
 SELECT h.doc_id, h.n_bytes, l.depth, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(l.prefix), l.depth, '0') END AS prefix, CAST(0 AS BIGINT) AS page, CAST(l.bytes AS BIGINT) AS shard_bytes, l.rows AS shard_rows
 FROM hashed h JOIN leaf l ON h.h >> ({BITS} - l.depth) = l.prefix"""
