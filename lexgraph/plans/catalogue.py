@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalars, search, star
+from . import corpus, scalars, search, star
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [star, search, scalars]
+MODULES = [star, search, scalars, corpus]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
