@@ -79,3 +79,33 @@ def merged_properties(rows: DataFrame, key: str) -> DataFrame:
     entries = F.flatten(F.transform("x", lambda y: y["e"]))
     latest = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     return held.select(key, "label", F.map_from_entries(F.array_sort(latest)).alias("props"))
+
+
+def between_documents(edges: DataFrame, a: str, b: str | None = None) -> DataFrame:
+    """FL-07: edges (action, target) that mention document ``a`` at either end; with ``b``, one at each end in either direction."""
+    has = lambda c, d: F.contains(F.col(c), F.lit(d))
+    if b is None:
+        return edges.where(has("action", a) | has("target", a))
+    return edges.where((has("action", a) & has("target", b)) | (has("action", b) & has("target", a)))
+
+
+def extraction_links(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """SNK-10: unit (id, level) to the provision of the same id whose label the level names: 4 Point, 3 Clause, 2 Article."""
+    label = F.when(F.col("level") == 4, "Point").when(F.col("level") == 3, "Clause").when(F.col("level") == 2, "Article")
+    return units.select("id", label.alias("label")).join(nodes.select("id", "label"), ["id", "label"], "left_semi").select("id", "label")
+
+
+def created_nodes(replacements: DataFrame, created: DataFrame) -> DataFrame:
+    """AR-03, AR-04: replacement nodes (item, level, number) that an insertion creates; the context around them goes."""
+    return replacements.join(created, ["item", "level", "number"], "left_semi").select(*replacements.columns)
+
+
+def appendix_actions(actions: DataFrame, provisions: DataFrame, document_dates: DataFrame) -> DataFrame:
+    """VB-07: version events of appendix replacements: V1 from the document's date for an appendix that isn't known yet, then the replacement.
+
+    actions: action_id, target_unit, old_document, old_number, new_document, new_number, effective_date; provisions: id; document_dates: document_id, effective_from."""
+    unit = F.coalesce("target_unit", F.concat_ws("", "old_document", F.lit("_PL"), F.trim("old_number")))
+    named = actions.withColumn("unit", unit).withColumn("document_id", F.substring_index("unit", "_PL", 1))
+    fresh = named.join(provisions.select(F.col("id").alias("unit")), "unit", "left_anti").groupBy("unit", "document_id").agg(F.first("old_number").alias("number"))
+    first = fresh.join(document_dates, "document_id", "left").select("unit", F.col("effective_from").alias("valid_from"), "number", F.col("document_id").alias("document"), F.lit(None).cast("string").alias("produced_by"))
+    return first.union(named.select("unit", F.col("effective_date"), "new_number", "new_document", "action_id"))
