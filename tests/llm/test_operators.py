@@ -76,7 +76,7 @@ def test_quality_line_limits(spark):
     rng = random.Random(2)
     own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
     rows = [(i, own[i], "h") for i in range(20)] + [(i, "Accept Our  cookies now\n" + own[i], "h") for i in range(20, 36)]
-    rows += [(50, "accept our cookies now\n" + " ".join(own[36].split()[:15]) + "\naccept our cookies now", "h")] + [(60 + k, own[39], "h") for k in range(30)]
+    rows += [(50, "\n".join(x for k in (0, 4) for x in ("accept our cookies now", " ".join(own[36].split()[k : k + 4]))) + "\naccept our cookies now", "h")] + [(60 + k, own[39], "h") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality_operator.quality_rules(df, min_docs=10).collect()}
     assert got[20].n_removed_lines == 1 and got[20].kept and got[0].n_removed_lines == 0 and got[0].kept
