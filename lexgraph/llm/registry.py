@@ -76,7 +76,40 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN s.first IS NULL OR s.fi
   CASE WHEN s.first <> page_id THEN s.first END AS refers_to
 FROM page LEFT JOIN shared s USING (payload_digest)"""
 
+_LOWERED = f"translate(coalesce(text, ''), '{contamination.UPPER}', '{contamination.LOWER}')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP4_SQL = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_WORDS}) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM doc, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS g(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT reach.d, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r),
+least AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM doc LEFT JOIN n USING (doc_id) LEFT JOIN least ON d = doc_id"""
+
+OP7_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS l FROM documents),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 7], ' ')) AS c FROM doc, unnest(generate_series(1, len(w) - 7)) AS g(i)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM win WHERE c > 1) GROUP BY doc_id),
+line AS (SELECT doc_id, host, i, l[i] AS raw, len(regexp_extract_all(l[i], {_WORDS})) AS n, array_to_string(regexp_extract_all(translate(l[i], '{contamination.UPPER}', '{contamination.LOWER}'), {_WORDS}), ' ') AS norm FROM doc, unnest(generate_series(1, len(l))) AS g(i)),
+long AS (SELECT doc_id, first(raw ORDER BY n DESC, i) AS work FROM line GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT coalesce(work, t)) AS docs FROM doc LEFT JOIN long USING (doc_id) GROUP BY host),
+frequent AS (SELECT host, norm FROM line JOIN long USING (doc_id) JOIN hosts USING (host) GROUP BY host, norm, hosts.docs HAVING count(DISTINCT work) >= 30 AND count(DISTINCT work) >= 0.1 * hosts.docs),
+gone AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN frequent ON frequent.host = line.host AND frequent.norm = line.norm GROUP BY doc_id),
+base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(again.n, 0) AS n_repeat_words, len(w) - coalesce(gone.n, 0) AS rest FROM doc LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR rest < 10 OR rest < 0.5 * n_words) AS kept FROM base"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": OP4_SQL,
+    "op7_quality_rules": OP7_SQL,
     "op1_warc_round_trip": OP1_SQL,
     "op2_chat_rotation": chat.SQL,
     "op5_benchmark_decontamination": contamination.sql(),
