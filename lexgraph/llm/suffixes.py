@@ -76,9 +76,16 @@ def _anchor_rows(length: int, gram: int):
                 first = tb.prefix_hash(data)
                 shape = (at - low).astype(U64) << U64(32) | (high - at).astype(U64)
                 one = tb.mix(tb.span_hash(first, low, high) ^ shape)
+                # neighbouring anchors of one class (periodic texts) are one row: their repeated windows cover one interval
+                fresh = np.ones(len(at), dtype=bool)
+                fresh[1:] = (owner[1:] != owner[:-1]) | (one[1:] != one[:-1]) | (value[1:] != value[:-1]) | (np.diff(at) > length)
+                first_of = np.flatnonzero(fresh)
+                n = np.diff(np.append(first_of, len(at)))
+                last = at[first_of + n - 1] if len(at) else at
+                at, low, high, value, one, owner = (x[first_of] for x in (at, low, high, value, one, owner))
                 keys = np.asarray(rows.column(rows.schema.get_field_index("row_key")))[owner]
-                columns = [keys, (at - offsets[owner]).astype(np.int32), value.view(np.int64), one.view(np.int64), (low - at).astype(np.int16), (high - at).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row_key", "pos", "gram", "c1", "low", "high"])
+                columns = [keys, (at - offsets[owner]).astype(np.int32), (last - offsets[owner]).astype(np.int32), n.astype(np.int64), value.view(np.int64), one.view(np.int64), (low - at).astype(np.int16), (high - at).astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row_key", "pos", "last", "n", "gram", "c1", "low", "high"])
 
     return run
 
@@ -236,10 +243,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, max_classes: int = 65_536, batch_size: int = 16_384) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    places = cut(rows.select("row_key", "text").mapInArrow(_anchor_rows(length, gram), "row_key long, pos int, gram long, c1 long, low smallint, high smallint"), "suffix-anchors")
+    places = cut(rows.select("row_key", "text").mapInArrow(_anchor_rows(length, gram), "row_key long, pos int, last int, n long, gram long, c1 long, low smallint, high smallint"), "suffix-anchors")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    classes = places.groupBy("gram", "c1").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("rep"))
+    classes = places.groupBy("gram", "c1").agg(F.sum("n").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("rep"))
     by_gram = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     classes = cut(classes.join(by_gram, "gram").select("gram", "c1", "n", "kinds", "rep.*"), "suffix-classes")
     whole = classes.where("n > 1").select("gram", "c1", F.col("low").cast("int").alias("from"), F.col("high").cast("int").alias("to"))
@@ -265,7 +272,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cover = whole.union(built) if by_count is None else whole.union(built).union(by_count)
     cover = cover.groupBy("gram", "c1").agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
-    spans = places.join(cover, ["gram", "c1"]).select("row_key", (F.col("pos") + F.col("from")).alias("from"), (F.col("pos") + F.col("to")).alias("to")).distinct()
+    spans = places.join(cover, ["gram", "c1"]).select("row_key", (F.col("pos") + F.col("from")).alias("from"), (F.col("last") + F.col("to")).alias("to")).distinct()
     spans = spans.groupBy("row_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     joined = rows.join(spans, "row_key", "left").select("row_key", "doc_id", "text", "spans")
     return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
