@@ -1,8 +1,9 @@
 """Operator 7, quality rules: cross-document line frequency.
 
 Lines are normalised (ASCII lower case, runs of white space as one space, trimmed) and hashed to 128 bits.
-For each (host, line) the operator counts the *distinct documents* that hold it. Documents with the same longest line
-count once, so that a text which was crawled or slightly altered many times isn't taken for boilerplate. A line is
+For each (host, line) the operator counts the *distinct documents* that hold it; exact copies of one text count once, so
+that a text which was crawled many times isn't taken for boilerplate. Altered copies are documents of their own; folding
+them is the work of the join (operator 4). A line is
 boilerplate on a host when at least ``min_docs`` distinct documents hold it and these are at least ``max_share`` of the
 host's distinct documents. Boilerplate lines are removed; a document is rejected as depleted when fewer than ``min_words`` words or
 less than ``min_left`` of its words remain.
@@ -33,7 +34,7 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = 1
 _STARTS_POINT = np.array([(b & 0xC0) != 0x80 for b in range(256)])
 
-SCHEMA = "row_id long, row_key long, doc_id long, host string, work long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,check:long,n:int>>"
+SCHEMA = "row_id long, row_key long, doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,check:long,n:int>>"
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -103,13 +104,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict:
     again[1:] = (raw[order][1:] == raw[order][:-1]) & (line_owner[order][1:] == line_owner[order][:-1])
     n_dup = np.bincount(line_owner[order][again], minlength=n).astype(np.int64)
 
-    # a document is known by its longest line: the first of those with most words
-    key = tb.text_keys(data, offsets)
-    if len(line_owner):
-        order = np.lexsort((at, first - last, line_owner))
-        head = order[np.concatenate([[True], line_owner[order][1:] != line_owner[order][:-1]])]
-        key[line_owner[head]] = raw[head]
-
     # a normalised line is its sequence of lower-cased words: two independent sums give 128 bits
     place = np.arange(len(lowered), dtype=np.int64)
     spread = []
@@ -120,7 +114,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict:
         spread.append(tb.mix(value + (last - first).astype(tb.U64)).view(np.int64))
     return {
         "n_words": n_words, "word_chars": points, "n_symbols": _sums(_SYMBOL[data], offsets), "n_dup_lines": n_dup,
-        "n_repeat_words": repeat_words(words, owner, n), "key": key, "line_owner": line_owner, "line": spread[0], "check": spread[1], "line_words": (last - first).astype(np.int32),
+        "n_repeat_words": repeat_words(words, owner, n), "key": tb.text_keys(data, offsets), "line_owner": line_owner, "line": spread[0], "check": spread[1], "line_words": (last - first).astype(np.int32),
     }
 
 
@@ -136,7 +130,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(f["key"].view(np.int64)), *[pa.array(f[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                 pa.ListArray.from_arrays(pa.array(cuts), lines),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "row_key", "doc_id", "host", "work", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "row_key", "doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
 def base_failed(min_words: int = 20, max_repeat_pct: int = 30) -> Column:
@@ -154,18 +148,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), row_key(docs[id_col], docs[text_col], docs[host_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[host_col].cast("string"), F.lit("\x00null")).alias("host"))
     facts = cut(rows.mapInArrow(_rows, SCHEMA), "quality")
-    lines = facts.select("row_id", "host", "work", F.explode("lines").alias("l")).select("row_id", "host", "work", "l.line", "l.check", "l.n")
+    lines = facts.select("row_id", "host", "text_key", F.explode("lines").alias("l")).select("row_id", "host", "text_key", "l.line", "l.check", "l.n")
     # distinct documents per (host, line); a line that stands in fewer than min_docs rows can't pass, so the exact
     # distinct count is made for the few frequent lines only
     frequent = lines.groupBy("host", "line", "check").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("host", "line", "check")
-    sizes = facts.select("host", "work").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    sizes = facts.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     limits = (
-        lines.join(frequent, ["host", "line", "check"], "left_semi").select("host", "line", "check", "work").distinct()
+        lines.join(frequent, ["host", "line", "check"], "left_semi").select("host", "line", "check", "text_key").distinct()
         .groupBy("host", "line", "check").agg(F.count("*").alias("docs"))
         .join(sizes, "host").where((F.col("docs") >= min_docs) & (F.col("docs") >= max_share * F.col("host_docs"))).select("host", "line", "check")
     )
     removed = lines.join(limits, ["host", "line", "check"], "left_semi").groupBy("row_id").agg(F.sum("n").cast("long").alias("gone"), F.count("*").alias("n_removed_lines"))
-    judged = facts.drop("lines", "host", "work").join(removed, "row_id", "left").withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)))
+    judged = facts.drop("lines", "host", "text_key").join(removed, "row_id", "left").withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)))
     judged = judged.withColumn("n_words_left", F.col("n_words") - F.coalesce("gone", F.lit(0))).withColumn("base_failed", base_failed())
     judged = judged.withColumn("depleted", (F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_left * F.col("n_words")))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("gone", "row_id")

@@ -84,6 +84,18 @@ def test_quality_line_limits(spark):
     assert all(got[60 + k].kept for k in range(30))  # copies of one text aren't boilerplate
 
 
+def test_quality_longest_line_is_shared(spark):
+    """A notice that is longer than any own line is counted by the documents that hold it; exact copies count once."""
+    rng = random.Random(4)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    notice, copied = (" ".join(f"{c}{k}" for k in range(60)) for c in "nc")
+    rows = [(i, notice + "\n" + own[i], "h") for i in range(12)] + [(20 + i, copied + "\n" + own[20], "h") for i in range(12)] + [(40 + i, own[21 + i], "h") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_operator.quality_rules(df, min_docs=10).collect()}
+    assert all(got[i].n_removed_lines == 1 and got[i].n_words_left == 20 and got[i].depleted and not got[i].kept for i in range(12))
+    assert all(got[i].n_removed_lines == 0 and got[i].kept for i in got if i >= 20)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return registry.tokenizer()
