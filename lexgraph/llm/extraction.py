@@ -7,8 +7,11 @@ dives where it falls to nothing; lines with weight between a surge and its dive
 needs no threshold; otherwise it is a share of the highest sum, so a page of any length has a region.
 
 Markup goes by one linear scan: comments, declarations, scripts and styles vanish, character references are decoded once
-after that, white space inside a block becomes one space. Unclosed and stray tags are harmless: a skipped container ends with its own end tag, with an
-opening article, or with the page.
+after that, white space inside a block becomes one space. Unclosed and stray tags are harmless: a skipped container ends with its own end tag or that of
+a block around it, where HTML implies its end (a paragraph at the next block, a list item at the next item), with an opening article, or with the page.
+
+An element is boilerplate by its attributes if it is hidden or has such a role, or if a whole class or id names one: each part of the name is a
+boilerplate word or a neutral one (``site-footer``, but not ``with-sidebar``). Headings, and inline elements inside an article, aren't skipped by such names.
 
 Defined results: null or empty html has an empty text (n_chars 0); repeated rows each get a row; further columns are ignored; nothing is cut off, whatever the length.
 """
@@ -16,7 +19,7 @@ Defined results: null or empty html has an empty text (n_chars 0); repeated rows
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -39,21 +42,49 @@ BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu",
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
 }
+#: Words that say where or in what form a part stands, not what it is about.
+NEUTRAL_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "buttons", "button", "container", "content", "custom", "desktop", "floating", "form", "global", "group", "icons", "inner", "item", "items", "layer", "left", "links", "list",
+    "main", "mobile", "outer", "overlay", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "sticky", "thread", "toolbar", "top", "wrap", "wrapper",
+}
+#: A header of these holds the title of the text.
+TITLED_WORDS = {"content", "item", "main", "page", "post", "section"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 KEPT_ELEMENTS = {"html", "body", "article", "main", "h1"}
+#: Elements whose ends are followed, and which open element each of them ends by its start.
+STACKED = (BLOCKS | {"td", "th"}) - VOID - {"html", "body"}
+SECTIONS = ["thead", "tbody", "tfoot"]
+IMPLIED = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "td": ["td", "th"], "th": ["td", "th"], "tr": ["td", "th", "tr"]} | {x: ["td", "th", "tr", *SECTIONS] for x in SECTIONS}
+P_ENDERS = BLOCKS | STACKED
+#: An end tag doesn't reach beyond these, other than their own.
+BARRIERS = {"article", "main", "table", "td", "th", "caption"}
+TABLE_PARTS = {"table", "caption", "tr", "td", "th", *SECTIONS}
+LISTS = {"ul", "ol", "menu"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>\"'<]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+[^>]*)>", re.S)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _names_boilerplate(value: str) -> bool:
+    """Whether a whole class or id of ``value`` consists of boilerplate words and neutral ones."""
+    for token in value.split():
+        words = _WORD.findall(token)
+        found = [w for w in words if w in BOILERPLATE_WORDS]
+        titled = set(found) == {"header"} and not TITLED_WORDS.isdisjoint(words)
+        if found and not titled and all(w in BOILERPLATE_WORDS or w in NEUTRAL_WORDS for w in words):
+            return True
+    return False
+
+
+def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     if name in KEPT_ELEMENTS or not attributes:
         return False
+    named = name not in HEADINGS and (name in STACKED or not in_article)
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(_WORD.findall(value)):
+        if named and key in ("class", "id") and _names_boilerplate(value):
             return True
         if key == "role" and value in BOILERPLATE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -62,6 +93,39 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
+class _Open:
+    """The open block elements of a page, each followed to its end or its implied end; places by name keep every step short."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def pop(self) -> None:
+        self.places[self.names.pop()].pop()
+
+    def start(self, name: str) -> int:
+        """Returns how many elements stay open around the new one."""
+        if self.names and (self.names[-1] == "p" and name in P_ENDERS or self.names[-1] == "head"):
+            self.pop()
+        while self.names and self.names[-1] in IMPLIED.get(name, ()):
+            self.pop()
+        around = len(self.names)
+        if name in STACKED:
+            self.places.setdefault(name, []).append(around)
+            self.names.append(name)
+        return around
+
+    def end(self, name: str) -> None:
+        at = self.last([name])
+        if at < 0 or name not in ARTICLE and at < self.last(ARTICLE if name in TABLE_PARTS else BARRIERS) or name == "li" and at < self.last(LISTS):
+            return
+        while len(self.names) > at:
+            self.pop()
+
+
 class _Lines:
     """The lines of a page with their weights, gathered in page order."""
 
@@ -86,7 +150,8 @@ class _Lines:
 def page_lines(html: str) -> _Lines:
     lines = _Lines()
     at, n = 0, len(html)
-    skip, skip_depth = "", 0  # the container that is being skipped and how often its name is open
+    opened = _Open()
+    skip, skip_depth, skip_at = "", 0, 0  # what is skipped, how often the name of an inline one is open, and how many blocks are around it
     in_article, in_link, heading = 0, False, False
     while at < n:
         m = _TOKEN.search(html, at)
@@ -113,19 +178,19 @@ def page_lines(html: str) -> _Lines:
             lines.pieces.append(" ")
         if name in HEADINGS:
             heading = not closing
-        if name in ARTICLE:
-            if closing:
-                in_article = max(0, in_article - 1)
-            else:
-                in_article += 1
-                skip, skip_depth = "", 0
-        elif skip:
-            if name == skip:
-                skip_depth += -1 if closing else 1
-                if skip_depth <= 0:
-                    skip = ""
-        elif not closing and name not in VOID and not attributes.endswith("/") and (name in SKIPPED or _boilerplate(name, attributes)):
-            skip, skip_depth = name, 1
+        inline, empty = name not in STACKED, name in VOID or attributes.endswith("/")
+        if closing:
+            opened.end(name)
+        around = opened.start(name) if not closing and (not empty or name == "hr") else len(opened.names)
+        in_article = sum(len(opened.places.get(x, ())) for x in ARTICLE)
+        if skip and inline and name == skip:
+            skip_depth += -1 if closing else 1
+        if skip and (around < skip_at or skip_depth <= 0):
+            skip = ""
+        if name in ARTICLE and not closing:
+            skip = ""
+        if not skip and not closing and not empty and (name in SKIPPED or _boilerplate(name, attributes, in_article > 0)):
+            skip, skip_depth, skip_at = name, 1, len(opened.names)
         if name == "a":
             in_link = not closing
     lines.end(in_article > 0)

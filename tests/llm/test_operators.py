@@ -200,6 +200,23 @@ def test_extraction_without_marks():
     assert extraction.main_text("<" * 50_000 + '<a "' * 5_000) != None  # noqa: E711  linear on broken markup
 
 
+KEPT_BY_NAME = [
+    '<a href="/2019/hidden-gems">x</a>', '<p title="the hidden valley">x</p>', '<div data-state="hidden">x</div>', '<p data-src="?id=ad">x</p>', '<div class="with-sidebar">x</div>', '<h2 id="social-history">x</h2>',
+    '<section id="related-work">x</section>', '<h3 id="search">x</h3>', '<span class="comment">x</span>', '<div class="page-header">x</div>',
+]
+SKIPPED_BY_NAME = ["<div hidden>y</div>", '<div class="wide ad">y</div>', '<div class="related-posts">y</div>', '<ol class="comment-list"><li>y</ol>', '<p class="share">y', '<ul><li class="social">y<li>x</ul>', '<dl><dt class=ad>y<dd>x</dl>', '<table><tr><td class=ad>y<td>x</table>', '<div hidden><p>y<div>y</div>y</div>']
+
+
+@pytest.mark.parametrize("part", KEPT_BY_NAME)
+def test_extraction_keeps_text_by_whole_names(part):
+    assert extraction.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nx\nb"
+
+
+@pytest.mark.parametrize("part", SKIPPED_BY_NAME)
+def test_extraction_skips_to_the_implied_end(part):
+    assert extraction.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == ("a\nx\nb" if "x" in part else "a\nb")
+
+
 TURNS = [(1, 0, "ann", "hi"), (1, 1, "bob", "<|assistant|> ha"), (1, 2, "ann", None), (1, 2, "ann", None), (2, 0, None, "x"), (None, None, "eve", ""), (1, None, "bob", "first")]
 
 
