@@ -2,13 +2,14 @@
 
 A page becomes a sequence of lines, one per block of the page. A line's weight is its text length; lines of menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments, lines that are mostly links, and, where the page marks its article, lines outside of it weigh nothing.
-Weights are summed over sliding windows of ``window`` lines. The text surges where a sum rises above the threshold and
-dives where it falls to nothing; lines with weight between a surge and its dive are the text. A page that marks its article
-needs no threshold; otherwise it is a share of the highest sum, so a page of any length has a region.
+Weights are summed over sliding windows of ``window`` lines. Where a sum falls to nothing, a region ends and another may begin. A region is text, from its first
+weighted line to its last, if one of its sums surges above the threshold: ``surge`` characters, or a share of the highest sum where that is less, so a
+page of any length has a region. Lines of links between its weighted lines belong to it. A page that marks its article needs no threshold.
 
 Markup goes by one linear scan: comments, declarations, scripts and styles vanish, character references are decoded once
 after that, white space inside a block becomes one space. Unclosed and stray tags are harmless: a skipped container ends with its own end tag or that of
-a block around it, where HTML implies its end (a paragraph at the next block, a list item at the next item), with an opening article, or with the page.
+a block around it, where HTML implies its end (a paragraph at the next block, a list item at the next item), with an opening article, or with the page. An article in an aside, footer or dialog, or in an element that its
+attributes mark as boilerplate, is part of that.
 
 An element is boilerplate by its attributes if it is hidden or has such a role, or if a whole class or id names one: each part of the name is a
 boilerplate word or a neutral one (``site-footer``, but not ``with-sidebar``). Headings, and inline elements inside an article, aren't skipped by such names.
@@ -37,6 +38,7 @@ BLOCKS = {
 SPACERS = {"br", "td", "th", "img", "wbr", "option", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ARTICLE = {"article", "main"}
+OWN_ARTICLES = {"aside", "footer", "dialog"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu",
@@ -151,7 +153,7 @@ def page_lines(html: str) -> _Lines:
     lines = _Lines()
     at, n = 0, len(html)
     opened = _Open()
-    skip, skip_depth, skip_at = "", 0, 0  # what is skipped, how often the name of an inline one is open, and how many blocks are around it
+    skip, skip_depth, skip_at, held = "", 0, 0, False  # what is skipped, how often the name of an inline one is open, how many blocks are around it, whether articles belong to it
     in_article, in_link, heading = 0, False, False
     while at < n:
         m = _TOKEN.search(html, at)
@@ -187,39 +189,37 @@ def page_lines(html: str) -> _Lines:
             skip_depth += -1 if closing else 1
         if skip and (around < skip_at or skip_depth <= 0):
             skip = ""
-        if name in ARTICLE and not closing:
+        if name in ARTICLE and not closing and not held:
             skip = ""
-        if not skip and not closing and not empty and (name in SKIPPED or _boilerplate(name, attributes, in_article > 0)):
-            skip, skip_depth, skip_at = name, 1, len(opened.names)
+        if not skip:
+            held = not closing and not empty and (name in OWN_ARTICLES or _boilerplate(name, attributes, in_article > 0))
+            if held or not closing and not empty and name in SKIPPED:
+                skip, skip_depth, skip_at = name, 1, len(opened.names)
         if name == "a":
             in_link = not closing
     lines.end(in_article > 0)
     return lines
 
 
-def main_text(html: str | None, window: int = WINDOW, share: float = 0.15) -> str:
+def main_text(html: str | None, window: int = WINDOW, share: float = 0.15, surge: int = 100) -> str:
     """The main text of a page: its lines between surges and dives."""
     if not html:
         return ""
     lines = page_lines(html)
     if not lines.texts:
         return ""
+    zone = np.array(lines.zone)
+    if zone.any():
+        return "\n".join(x for x, k in zip(lines.texts, zone, strict=True) if k)
     length = np.array([len(x) for x in lines.texts])
     linked = np.minimum(np.array(lines.linked), length)
-    zone = np.array(lines.zone)
-    marked = bool(zone.any())
-    weight = np.where(zone, length, 0) if marked else np.where(2 * linked > length, 0, length)
+    weight = np.where(2 * linked > length, 0, length)
     sums = np.convolve(weight, np.ones(window, dtype=np.int64))[window - 1 :]  # of each line and those after it
-    threshold = 0 if marked else share * sums.max()
-    keep = np.zeros(len(weight), dtype=bool)
-    inside = False
-    for i, total in enumerate(sums):
-        if not inside and total > threshold:
-            inside = True
-        elif inside and total == 0:
-            inside = False
-        keep[i] = inside and weight[i] > 0
-    return "\n".join(x for x, k in zip(lines.texts, keep, strict=True) if k)
+    threshold = min(surge, share * sums.max())
+    held = np.flatnonzero(weight)
+    cuts = np.flatnonzero(np.diff(held) > window) + 1
+    regions = [(part[0], part[-1] + 1) for part in np.split(held, cuts) if len(part)]
+    return "\n".join(x for first, last in regions if sums[first:last].max() > threshold for x in lines.texts[first:last])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -217,6 +217,21 @@ def test_extraction_skips_to_the_implied_end(part):
     assert extraction.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == ("a\nx\nb" if "x" in part else "a\nb")
 
 
+def test_extraction_of_unmarked_regions():
+    opening = "<h1>A title</h1><p>By someone</p><p>" + "open " * 40 + "</p><p>Then.</p><p>" + "more " * 20 + "</p>"
+    page = "<body><div>" + opening + "<p><a href=x>a line that is a link</a></p><p>" + "word " * 2000 + "</p></div></body>"
+    want = ["A title", "By someone", ("open " * 40).strip(), "Then.", ("more " * 20).strip(), "a line that is a link", ("word " * 2000).strip()]
+    assert extraction.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("extra", ["<aside><article><h2>Teaser</h2>t</article></aside>", '<ol class="comment-list"><li><article>says</article></li></ol>', "<footer><article>f</article></footer>"])
+def test_extraction_of_articles_in_skipped_parts(extra):
+    text = ("word " * 60).strip()
+    assert extraction.main_text(f"<div><p>{text}</p></div>{extra}") == text
+    assert extraction.main_text(f"<article><p>{text}</p>{extra}</article>") == text
+    assert extraction.main_text(f"<form><article><p>{text}</p></article></form>") == text
+
+
 TURNS = [(1, 0, "ann", "hi"), (1, 1, "bob", "<|assistant|> ha"), (1, 2, "ann", None), (1, 2, "ann", None), (2, 0, None, "x"), (None, None, "eve", ""), (1, None, "bob", "first")]
 
 
