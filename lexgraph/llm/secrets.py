@@ -3,10 +3,11 @@
 Base kinds, leftmost and not overlapping within a kind: ``assign`` (a keyword, a separator and a value of 12 or more characters), ``access``
 (AKIA identifiers of 18 or more) and ``hex`` (16 or more hexadecimal digits). Spans are in code points, end exclusive.
 
-Weak candidates aren't secrets by themselves: ``weak`` (an assignment whose value has 6 to 11 characters), ``ident`` (account identifiers, and AKIA
+Weak candidates aren't secrets by themselves: ``weak`` (an assignment whose value has 6 to 11 characters, one of 6 or more to a name such as
+secret_access_key, private_key or pwd, or a key-like string of 32 to 64 characters that stands alone), ``ident`` (account identifiers, and AKIA
 identifiers of 10 to 17) and ``endpoint`` (addresses of services). They are reported only when complementary parts
 co-occur within ``scope`` code points of the same text: a weak secret with an identifier or an endpoint; an identifier
-or an endpoint with a secret, weak or not. The co-occurrence is an interval join on (text, bin of ``scope`` code points and its
+or an endpoint with a secret, weak or not, or with hex digits outside of it. The co-occurrence is an interval join on (text, bin of ``scope`` code points and its
 neighbours), so a long text is never compared with itself as a whole, and a bin holds only what fits in its characters.
 
 A position comes from the lengths of the pieces between matches (``split``) and of the matches (``regexp_extract_all``); texts without a match skip both.
@@ -26,7 +27,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "weak", "ident", "endpoint"]
-IDENT = r"""(?i:access_?key(?:_?id)?|client_?id|user(?:_?name|_?id)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
+NAMED = r"""(?<![A-Za-z])(?i:(?:aws_?)?secret[_-]?(?:access[_-]?)?key|private[_-]?key|pwd|pass)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
+BARE = r"""(?<![A-Za-z0-9+/=_.?&%#@-])(?!AKIA)(?![0-9a-f]+(?![A-Za-z0-9+/]))(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])"""
+IDENT = r"""(?i:(?<!secret)(?<!secret[_-])access_?key(?:_?id)?|client_?id|user(?:_?name|_?id)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
 ENDPOINT = r"""(?i:https?|ftp|amqp|redis|mongodb|mysql|postgres(?:ql)?|jdbc:[a-z]+)://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?"""
 SCOPE = 200
 _SPAN = "array<struct<start:int,stop:int,m:string>>"
@@ -63,26 +66,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """Per row of ``docs``: doc_id, row_key, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    raw = rows.select("row_id", "row_key", "doc_id", *[matches(F.col("text"), p).alias(name) for name, p in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("i", IDENT), ("e", ENDPOINT))])
+    raw = rows.select("row_id", "row_key", "doc_id", *[matches(F.col("text"), p).alias(name) for name, p in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("n", NAMED), ("b", BARE), ("i", IDENT), ("e", ENDPOINT))])
     strong = F.filter("a", lambda x: _value_length(x["m"]) >= 12)
     weak = F.filter("a", lambda x: _value_length(x["m"]).between(6, 11))
     size = lambda x: F.char_length(x["m"])
+    # a key-like string counts where it is no part of another span
+    alone = F.filter("b", lambda x: ~F.exists(F.concat("a", "n", "i", "e"), lambda y: (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])))
     facts = raw.select(
         "row_id", "row_key", "doc_id", _named(strong, "assign").alias("assign"), _named(F.filter("k", lambda x: size(x) >= 18), "access").alias("access"), _named(F.col("h"), "hex").alias("hex"),
-        F.concat(_named(weak, "weak"), _named(F.col("i"), "ident"), _named(F.filter("k", lambda x: size(x).between(10, 17)), "ident"), _named(F.col("e"), "endpoint")).alias("parts"),
+        F.concat(_named(weak, "weak"), _named(F.col("n"), "weak"), _named(alone, "weak"), _named(F.col("i"), "ident"), _named(F.filter("k", lambda x: size(x).between(10, 17)), "ident"), _named(F.col("e"), "endpoint")).alias("parts"),
     )
     facts = cut(facts, "secret-spans")
 
-    part = facts.where(F.size("parts") > 0).select("row_id", F.explode(F.concat("assign", "access", "parts")).alias("p")).select("row_id", "p.start", "p.kind", "p.stop")
+    part = facts.where(F.size("parts") > 0).select("row_id", F.explode(F.concat("assign", "access", "hex", "parts")).alias("p")).select("row_id", "p.start", "p.kind", "p.stop")
     number = KINDS.index
     ask = part.where(F.col("kind") >= number("weak")).withColumn("bin", F.floor(F.col("start") / scope))
     other = part.select("row_id", F.col("start").alias("start2"), F.col("kind").alias("kind2"), F.col("stop").alias("stop2"), F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("stop") - 1) / scope) + 1)).alias("bin"))
     # the bins of a span reach one bin beyond both of its ends; a part that starts farther on looks back over its own length
     ask = ask.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))))
     near = (F.col("start2") <= F.col("stop") + scope) & (F.col("start") <= F.col("stop2") + scope)
+    near = near & ((F.col("kind2") != number("hex")) | (F.col("start2") >= F.col("stop")) | (F.col("stop2") <= F.col("start")))
     secret = [number("assign"), number("weak")]
     holder = [number("access"), number("ident"), number("endpoint")]
-    complement = (F.col("kind").isin(secret) & F.col("kind2").isin(holder)) | (F.col("kind").isin(holder) & F.col("kind2").isin(secret))
+    complement = (F.col("kind").isin(secret) & F.col("kind2").isin(holder)) | (F.col("kind").isin(holder) & F.col("kind2").isin(*secret, number("hex")))
     linked = ask.alias("x").join(other.alias("y"), (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.bin") == F.col("y.bin")) & near & complement, "left_semi")
     linked = linked.select("row_id", "start", "kind", "stop").distinct().groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("linked"))
 
