@@ -5,8 +5,8 @@ For each (host, line) the operator counts the *distinct documents* that hold it;
 that a text which was crawled many times isn't taken for boilerplate. Altered copies are documents of their own; folding
 them is the work of the join (operator 4). A line is
 boilerplate on a host when at least ``min_docs`` distinct documents hold it and these are at least ``max_share`` of the
-host's distinct documents. Boilerplate lines are removed; a document is rejected as depleted when fewer than ``min_words`` words or
-less than ``min_left`` of its words remain.
+host's distinct documents. Boilerplate lines are removed (:func:`without_boilerplate`); a document is rejected as depleted when fewer than
+``min_words`` words or less than ``min_left`` of its words remain.
 
 Skew: one host may hold a third of all rows and one line may stand in most of them. The counts are plain
 hash aggregates keyed by (host, line) with map-side combining; no host or line is gathered in one task.
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .tables import cut, row_key, with_workers
 
 WINDOW = 8
 #: The characters that count as symbols.
@@ -34,7 +35,7 @@ _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = 1
 _STARTS_POINT = np.array([(b & 0xC0) != 0x80 for b in range(256)])
 
-SCHEMA = "row_id long, row_key long, doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,check:long,n:int>>"
+SCHEMA = "row_id long, row_key binary, doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,check:long,n:int,at:int>>"
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,9 +96,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict:
     points = _sums(_STARTS_POINT[data], offsets) - _sums(tb.SPACE[data], offsets)
 
     at, end, line_owner = _lines(data, offsets)
+    number = (np.arange(len(at)) - np.searchsorted(line_owner, line_owner)).astype(np.int32)  # of the line in its text, from 0
     first, last = np.searchsorted(word_at, at), np.searchsorted(word_at, end)
     some = last > first
-    at, end, line_owner, first, last = at[some], end[some], line_owner[some], first[some], last[some]
+    at, end, line_owner, first, last, number = at[some], end[some], line_owner[some], first[some], last[some], number[some]
     raw = tb.span_hash(prefix, at, end)
     order = np.lexsort((at, raw, line_owner))
     again = np.zeros(len(order), dtype=bool)
@@ -114,7 +116,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict:
         spread.append(tb.mix(value + (last - first).astype(tb.U64)).view(np.int64))
     return {
         "n_words": n_words, "word_chars": points, "n_symbols": _sums(_SYMBOL[data], offsets), "n_dup_lines": n_dup,
-        "n_repeat_words": repeat_words(words, owner, n), "key": tb.text_keys(data, offsets), "line_owner": line_owner, "line": spread[0], "check": spread[1], "line_words": (last - first).astype(np.int32),
+        "n_repeat_words": repeat_words(words, owner, n), "key": tb.text_keys(data, offsets), "line_owner": line_owner, "line": spread[0], "check": spread[1], "line_words": (last - first).astype(np.int32), "line_number": number,
     }
 
 
@@ -124,7 +126,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = features(data, offsets)
             n = len(offsets) - 1
             cuts = np.searchsorted(f["line_owner"], np.arange(n + 1)).astype(np.int32)
-            lines = pa.StructArray.from_arrays([pa.array(f["line"]), pa.array(f["check"]), pa.array(f["line_words"])], names=["line", "check", "n"])
+            lines = pa.StructArray.from_arrays([pa.array(f["line"]), pa.array(f["check"]), pa.array(f["line_words"]), pa.array(f["line_number"])], names=["line", "check", "n", "at"])
             columns = [
                 *[rows.column(rows.schema.get_field_index(c)) for c in ("row_id", "row_key", "doc_id", "host")],
                 pa.array(f["key"].view(np.int64)), *[pa.array(f[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -137,18 +139,12 @@ def base_failed(min_words: int = 20, max_repeat_pct: int = 30) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
 
 
-def row_key(doc_id: Column, text: Column, host: Column) -> Column:
-    """What identifies a row's verdict: repeated rows share it."""
-    return F.xxhash64(doc_id, F.sha2(F.coalesce(text, F.lit("")), 256), text.isNull(), host)
-
-
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 30, max_share: float = 0.1, min_words: int = 10, min_left: float = 0.5) -> DataFrame:
-    """Per row of ``docs``: doc_id, the base counts, base_failed, n_removed_lines, n_words_left, depleted and kept."""
-    from .tables import cut
-
+    """Per row of ``docs``: doc_id, row_key, the base counts, base_failed, removed_lines (numbers of the boilerplate lines, from 0; null if none), n_removed_lines, n_words_left, depleted and kept."""
+    with_workers(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), row_key(docs[id_col], docs[text_col], docs[host_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[host_col].cast("string"), F.lit("\x00null")).alias("host"))
     facts = cut(rows.mapInArrow(_rows, SCHEMA), "quality")
-    lines = facts.select("row_id", "host", "text_key", F.explode("lines").alias("l")).select("row_id", "host", "text_key", "l.line", "l.check", "l.n")
+    lines = facts.select("row_id", "host", "text_key", F.explode("lines").alias("l")).select("row_id", "host", "text_key", "l.line", "l.check", "l.n", "l.at")
     # distinct documents per (host, line); a line that stands in fewer than min_docs rows can't pass, so the exact
     # distinct count is made for the few frequent lines only
     frequent = lines.groupBy("host", "line", "check").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("host", "line", "check")
@@ -158,8 +154,36 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .groupBy("host", "line", "check").agg(F.count("*").alias("docs"))
         .join(sizes, "host").where((F.col("docs") >= min_docs) & (F.col("docs") >= max_share * F.col("host_docs"))).select("host", "line", "check")
     )
-    removed = lines.join(limits, ["host", "line", "check"], "left_semi").groupBy("row_id").agg(F.sum("n").cast("long").alias("gone"), F.count("*").alias("n_removed_lines"))
+    removed = lines.join(limits, ["host", "line", "check"], "left_semi").groupBy("row_id").agg(F.sum("n").cast("long").alias("gone"), F.count("*").alias("n_removed_lines"), F.collect_list("at").alias("removed_lines"))
     judged = facts.drop("lines", "host", "text_key").join(removed, "row_id", "left").withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)))
     judged = judged.withColumn("n_words_left", F.col("n_words") - F.coalesce("gone", F.lit(0))).withColumn("base_failed", base_failed())
     judged = judged.withColumn("depleted", (F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_left * F.col("n_words")))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("gone", "row_id")
+
+
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, _, _ in tb.slices(batch, "text"):
+            texts, gone = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("text", "removed_lines"))
+            kept = []
+            for text, numbers in zip(texts, gone, strict=True):
+                left_out = set(numbers)
+                kept.append("\n".join(line for k, line in enumerate(text.split("\n")) if k not in left_out))
+            at = rows.schema.get_field_index("text")
+            yield rows.set_column(at, "text", pa.array(kept, pa.string()))
+
+
+def without_boilerplate(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (:func:`quality_rules` of the same rows) keeps, with the same columns, their boilerplate lines removed; ``chars_col`` follows a changed text.
+
+    Texts without such lines pass unchanged, and only the others go through Python. Repeated rows share their verdict.
+    """
+    with_workers(docs.sparkSession)
+    columns = docs.columns
+    verdict = judged.where("kept").select(F.col("row_key").alias("__key"), "removed_lines").dropDuplicates(["__key"])
+    kept = docs.join(verdict, row_key(docs[id_col], docs[text_col], docs[host_col]) == F.col("__key"))
+    dirty = kept.where("removed_lines is not null").select("removed_lines", F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"))
+    cleaned = dirty.mapInArrow(_without_lines, dirty.schema)
+    new = {text_col: F.col("text"), chars_col: F.char_length("text").cast(docs.schema[chars_col].dataType) if chars_col in columns else None}
+    cleaned = cleaned.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in columns])
+    return kept.where("removed_lines is null").select(*[F.col(f"`{c}`") for c in columns]).union(cleaned)

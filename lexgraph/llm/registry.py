@@ -92,14 +92,13 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS
 
 OP7_SQL = f"""
 WITH doc AS (
-  SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w,
+  SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS l FROM documents),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 7], ' ')) AS c FROM doc, unnest(generate_series(1, len(w) - 7)) AS g(i)),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM win WHERE c > 1) GROUP BY doc_id),
-line AS (SELECT doc_id, host, i, l[i] AS raw, len(regexp_extract_all(l[i], {_WORDS})) AS n, array_to_string(regexp_extract_all(translate(l[i], '{contamination.UPPER}', '{contamination.LOWER}'), {_WORDS}), ' ') AS norm FROM doc, unnest(generate_series(1, len(l))) AS g(i)),
-long AS (SELECT doc_id, first(raw ORDER BY n DESC, i) AS work FROM line GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT coalesce(work, t)) AS docs FROM doc LEFT JOIN long USING (doc_id) GROUP BY host),
-frequent AS (SELECT host, norm FROM line JOIN long USING (doc_id) JOIN hosts USING (host) GROUP BY host, norm, hosts.docs HAVING count(DISTINCT work) >= 30 AND count(DISTINCT work) >= 0.1 * hosts.docs),
+line AS (SELECT doc_id, host, k, len(regexp_extract_all(l[i], {_WORDS})) AS n, array_to_string(regexp_extract_all(translate(l[i], '{contamination.UPPER}', '{contamination.LOWER}'), {_WORDS}), ' ') AS norm FROM doc, unnest(generate_series(1, len(l))) AS g(i)),
+hosts AS (SELECT host, count(DISTINCT k) AS docs FROM doc GROUP BY host),
+frequent AS (SELECT host, norm FROM line JOIN hosts USING (host) GROUP BY host, norm, hosts.docs HAVING count(DISTINCT k) >= 30 AND count(DISTINCT k) >= 0.1 * hosts.docs),
 gone AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN frequent ON frequent.host = line.host AND frequent.norm = line.norm GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,

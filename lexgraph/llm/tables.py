@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -55,6 +56,12 @@ def with_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def row_key(*parts: Column) -> Column:
+    """128 bits that identify a row by its values, nulls included: rows with equal values share it, others don't. Each value is digested by itself, so no separator can be forged."""
+    digests = [F.coalesce(F.md5(x.cast("string").cast("binary")), F.lit("null")) for x in parts]
+    return F.unhex(F.md5(F.concat_ws(":", *digests).cast("binary")))
+
+
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns of the first match each, so that extra or clashing columns never matter."""
     return df.select(*[df[source].alias(target) for target, source in columns.items()])
