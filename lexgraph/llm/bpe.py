@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textbatch as tb
+from .tables import with_workers
 
 _loaded: dict[tuple[str, str], tuple] = {}
 
@@ -70,25 +71,37 @@ def load(path: str, pattern: str):
 UNSETTLED = re.compile(r"[^\x00-\u0527\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 _pieces: dict[tuple[str, str], dict[str, bytes]] = {}
-MAX_PIECES = 800_000
+#: Memory that a worker's kept matches may take, and the longest match (in characters) that is kept.
+CACHE_BYTES = 160 << 20
+CACHED_CHARS = 48
+#: What an entry of the dictionary takes beside its characters and ids: two objects' headers and the entry.
+_ENTRY_BYTES = 200
+_held: dict[tuple[str, str], int] = {}
 
 
 def encode_packed(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
-    A text is its pattern's matches, each encoded by itself; so each distinct match goes to the tokenizer once and its ids are kept
-    (``MAX_PIECES`` at most, then forgotten: a bound of memory, not of what is encoded).
+    A text is its pattern's matches, each encoded by itself; so a short match goes to the tokenizer once and its ids are kept until ``CACHE_BYTES``
+    are reached, then forgotten: a bound of memory, not of what is encoded. Longer matches, and texts that the library splits by itself, are never kept.
     """
     encoder, _ = load(path, pattern)
     known = _pieces.setdefault((path, pattern), {})
-    split = regex.compile(pattern, regex.V0).findall
-    if len(known) > MAX_PIECES:
+    if _held.get((path, pattern), 0) > CACHE_BYTES:
         known.clear()
+        _held[path, pattern] = 0
+    split = regex.compile(pattern, regex.V0).findall
     parts = [[text] if UNSETTLED.search(text) else split(text) for text in texts]
     new = list(set().union(*parts).difference(known)) if parts else []
+    once: dict[str, bytes] = {}
     for piece, found in zip(new, encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        if len(piece) <= CACHED_CHARS:
+            known[piece] = ids
+            _held[path, pattern] = _held.get((path, pattern), 0) + _ENTRY_BYTES + 4 * len(piece) + len(ids)
+        else:
+            once[piece] = ids
+    return [b"".join(known[x] if x in known else once[x] for x in p) if once else b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 def encode(texts: list[str], path: str, pattern: str) -> list[list[int]]:
@@ -150,6 +163,7 @@ def encode_frame(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([ids_col, *(pa.array(x, kind) for x in ([e.ids for e in done], [[a for a, _ in e.offsets] for e in done], [[b for _, b in e.offsets] for e in done]))], names=["doc_id", "ids", "starts", "ends"])
 
+    with_workers(docs.sparkSession)
     schema = "doc_id long, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
@@ -162,6 +176,7 @@ def decode_frame(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([decode(x or [], path, pattern) for x in ids], pa.string())], names=["doc_id", "text"])
 
+    with_workers(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -177,6 +192,7 @@ def digests(texts: list[str], path: str, pattern: str) -> list[tuple[int, str, s
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encode and decode each row; doc_id, the columns of ``keep`` and the digests of :func:`digests`."""
+    with_workers(docs.sparkSession)
     keep = keep or []
     kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep])
 
