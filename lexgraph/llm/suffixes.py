@@ -19,7 +19,7 @@ Every byte that a string of ``length`` bytes covers which also starts anywhere e
 Skew: classes fold exact repeats before bytes are moved; classes join back by (gram, class), where Spark splits hot keys. A gram with more than
 ``max_classes`` different contexts isn't gathered in one task: its windows are counted by 128-bit hashes with map-side combining instead.
 
-A class is compared by 128 bits, its gram's and its bytes' hashes. Defined results: a null or empty text has no bytes; texts shorter than ``length`` keep all; repeated rows
+A class is compared by 128 bits, its gram's and its bytes' hashes; a row is found again by 128 bits of its id and text. Defined results: a null or empty text has no bytes; texts shorter than ``length`` keep all; repeated rows
 are copies of each other (and each get a row); a null doc_id is allowed; further columns are ignored.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .tables import cut
+from .tables import cut, row_key, with_workers
 
 LENGTH = 400
 GRAM = 32
@@ -83,9 +83,9 @@ def _anchor_rows(length: int, gram: int):
                 n = np.diff(np.append(first_of, len(at)))
                 last = at[first_of + n - 1] if len(at) else at
                 at, low, high, value, one, owner = (x[first_of] for x in (at, low, high, value, one, owner))
-                keys = np.asarray(rows.column(rows.schema.get_field_index("row_key")))[owner]
+                keys = rows.column(rows.schema.get_field_index("row_key")).take(pa.array(owner))
                 columns = [keys, (at - offsets[owner]).astype(np.int32), (last - offsets[owner]).astype(np.int32), n.astype(np.int64), value.view(np.int64), one.view(np.int64), (low - at).astype(np.int16), (high - at).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row_key", "pos", "last", "n", "gram", "c1", "low", "high"])
+                yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:])], names=["row_key", "pos", "last", "n", "gram", "c1", "low", "high"])
 
     return run
 
@@ -242,8 +242,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, max_classes: int = 65_536, batch_size: int = 16_384) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    places = cut(rows.select("row_key", "text").mapInArrow(_anchor_rows(length, gram), "row_key long, pos int, last int, n long, gram long, c1 long, low smallint, high smallint"), "suffix-anchors")
+    with_workers(docs.sparkSession)
+    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    places = cut(rows.select("row_key", "text").mapInArrow(_anchor_rows(length, gram), "row_key binary, pos int, last int, n long, gram long, c1 long, low smallint, high smallint"), "suffix-anchors")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     classes = places.groupBy("gram", "c1").agg(F.sum("n").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("rep"))
