@@ -3,13 +3,15 @@
 An item's windows are its runs of ten words (all its words if it has fewer). A window is the set of its positioned shingles of five words
 (of all its words if it has fewer); containment needs every one of them, so one shingle per window is a sufficient prefix.
 
-1. One pass over the documents keeps the positions of shingles that any window has. Rarity is the number of documents that hold a shingle, counted over all documents.
-2. Each window joins by its rarest shingle only; a window with a shingle that no document has can't occur.
-3. Length and positional bounds: the window must start at a word of the document and end within it.
-4. Exact containment: the shingles that tile the window must stand at their places. Equal shingles at their places are equal words.
+1. *Rarity.* One pass over the documents counts the occurrences of the windows' shingles, combined before they are shuffled; nothing else leaves that pass. A window with a shingle that
+   no document has can't occur.
+2. *Prefix join.* A second pass joins the documents' shingles with each window's rarest one only, which gives the word at which the window must start.
+3. *Length and positional bounds.* The window must start at a word of the document and end within it.
+4. *Exact containment.* The document's words at that place must be the window's words.
 
-The join of all document shingles with the windows' shingles is a broadcast where the counted shingles stay below ``broadcast_rows``, and a shuffled join beyond it. A passage that many documents share
-costs rows in proportion to its occurrences; no group of documents is gathered.
+Shingles are 64-bit hashes of words in lower case. Equal words have equal hashes, so no occurrence is lost, and step 4 compares the words themselves, so no collision is found.
+The windows are broadcast where their number and bytes stay below ``broadcast_rows`` and ``broadcast_bytes``; then step 4 happens where the document is read. Beyond that both joins are shuffled, and the
+surviving (document, window, start) rows are joined with their documents for step 4. A passage that many documents share costs rows in proportion to its occurrences; no group of documents is gathered.
 
 Defined results: null, empty or word-less texts have no words and no hits; repeated documents each get a row; rows of one item_id are one item; windows of
 an item without an id count as hits but name no item; no benchmark means no hits; further columns are ignored.
@@ -18,17 +20,18 @@ an item without an id count as hits but name no item; no benchmark means no hits
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, row_key
 
 WINDOW = 10
 SHINGLE = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words, upper case included.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Stands for "this document was read" among the shingles; no word can hold it.
-MARK = "\x00"
+#: The place of a row that only says "this document was read".
+READ = -1
 
 
 def words_of(text: Column) -> Column:
@@ -40,11 +43,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def _shingles(words: Column, k: int) -> Column:
-    """(pos, sh) of each run of ``k`` words."""
-    n = F.size(words)
-    one = F.transform(F.slice(words, F.lit(1), n - (k - 1)), lambda x, i: F.struct(i.alias("pos"), F.concat_ws(" ", x, *[F.get(words, i + j) for j in range(1, k)]).alias("sh")))
-    return F.when(n >= k, one).otherwise(F.array().cast("array<struct<pos:int,sh:string>>"))
+def word_hashes(words: Column) -> Column:
+    """A hash of each word in lower case; words that are equal in ASCII lower case have equal ones."""
+    return F.transform(words, lambda x: F.xxhash64(F.lower(x)))
+
+
+def shingle_hashes(hashes: Column, k: int) -> Column:
+    """A hash of each run of ``k`` words, in order."""
+    n = F.size(hashes)
+    runs = F.transform(F.slice(hashes, F.lit(1), n - (k - 1)), lambda x, i: F.xxhash64(x, *[F.get(hashes, i + j) for j in range(1, k)]))
+    return F.when(n >= k, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -55,46 +63,58 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def window_shingles(distinct_windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """window, n, at (0-based place), sh of each window."""
-    w = distinct_windows.select("window", "n", F.split("window", " ").alias("w"))
-    size = F.least(F.lit(shingle), F.col("n"))
-    return w.select("window", "n", "w", size.alias("k"), F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("at")).select("window", "n", "k", "at", F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("k"))).alias("sh"))
+    """window, n, k, at (0-based place), h of each window's shingles of ``k`` words."""
+    w = distinct_windows.select("window", "n", F.least(F.lit(shingle), F.col("n")).alias("k"), word_hashes(F.split("window", " ")).alias("hashes"))
+    parts = [w.where(F.col("k") == k).select("window", "n", "k", F.posexplode(shingle_hashes(F.col("hashes"), k)).alias("at", "h")) for k in range(1, shingle + 1)]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.union(more)
+    return whole
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 500_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
     listed = cut(windows(benchmark, window=window), "leak-windows")
     parts = cut(window_shingles(listed.select("window", "n").distinct(), shingle), "leak-shingles")
-    index = parts.select("sh").distinct().union(spark.range(1).select(F.lit(MARK).alias("sh")))
-    index = index.select(F.lower("sh").alias("folded"), F.col("sh").alias("known"))
-    if parts.count() <= broadcast_rows:
-        index = F.broadcast(index)
+    n_rows, n_bytes = parts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    small = n_rows <= broadcast_rows and n_bytes <= broadcast_bytes
+    hint = F.broadcast if small else lambda df: df
     sizes = sorted(r[0] for r in parts.select("k").distinct().collect())  # five numbers at most
 
-    read = docs.select(row_key(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), words_of(docs[text_col]).alias("w"))
-    n = F.size("w")
-    shingled = [_shingles(F.col("w"), k) for k in sizes]
-    every = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(MARK).alias("sh"))), *shingled)
-    spread = read.select("row_key", "doc_id", n.alias("n_words"), F.inline(every))
-    hits = spread.join(index, F.lower("sh") == F.col("folded")).where(ascii_lower(F.col("sh")) == F.col("known")).select("row_key", "doc_id", "n_words", "pos", "known")
-    hits = cut(hits, "leak-hits")
-
-    facts = hits.where("pos = -1").select("row_key", "doc_id", "n_words")
-    places = hits.where("pos >= 0").select("row_key", "n_words", "pos", F.col("known").alias("sh")).distinct()  # repeated rows share their places
-    rarity = places.select("row_key", "sh").distinct().groupBy("sh").agg(F.count("*").alias("docs"))
-    ranked = parts.join(rarity, "sh", "left")
-    prefix = ranked.groupBy("window", "n", "k").agg(F.min(F.coalesce("docs", F.lit(0))).alias("least"), F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "sh", "at")).alias("rarest")).where("least > 0").select("window", "n", "k", "rarest.sh", "rarest.at")
-    placed = places.join(prefix, "sh").select("row_key", "window", "n", "k", (F.col("pos") - F.col("at")).alias("start"), "n_words").where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).drop("n_words").distinct()
-    # shingles that tile the window: every k-th one and the last
-    tiles = parts.where(((F.col("at") % F.col("k")) == 0) | (F.col("at") == F.col("n") - F.col("k"))).select("window", "at", "sh")
-    needed = tiles.groupBy("window").agg(F.count("*").alias("needed"))
-    proof = placed.join(tiles, "window").select("row_key", "window", "n", "start", (F.col("start") + F.col("at")).alias("pos"), "sh").join(places.select("row_key", "pos", "sh"), ["row_key", "pos", "sh"])
-    found = cut(proof.groupBy("row_key", "window", "n", "start").agg(F.count("*").alias("got")).join(needed, "window").where("got = needed").select("row_key", "window", "start", (F.col("start") + F.col("n")).alias("stop")), "leak-found")
-
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("row_key").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    read = docs.select(row_key(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), words_of(docs[text_col]).alias("w")).withColumn("hashes", word_hashes(F.col("w")))
+    every = F.flatten(F.array(*[shingle_hashes(F.col("hashes"), k) for k in sizes])) if sizes else F.array().cast("array<bigint>")
+    rarity = read.select(F.explode(every).alias("h")).join(hint(parts.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("times"))
+    rarity = cut(rarity, "leak-rarity")
+    ranked = parts.join(rarity, "h", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    prefix = ranked.groupBy("window", "n", "k").agg(F.min("times").alias("least"), F.min(F.struct("times", "h", "at")).alias("rarest")).where("least > 0")
+    prefix = cut(prefix.select("window", F.col("n").alias("n"), "k", F.col("rarest.h").alias("h"), F.col("rarest.at").alias("at")), "leak-prefix")
+
+    def placed(k: int) -> Column:
+        return F.transform(shingle_hashes(F.col("hashes"), k), lambda h, i: F.struct(i.alias("pos"), F.lit(k).alias("size"), h.alias("found")))
+
+    mark = F.array(F.struct(F.lit(READ).alias("pos"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("found")))
+    carried = ["row_key", "doc_id", F.size("w").alias("n_words"), *(["w"] if small else [])]
+    spread = read.select(*carried, F.inline(F.concat(mark, *[placed(k) for k in sizes])))
+    targets = prefix.unionByName(prefix.sparkSession.createDataFrame([(None, 0, 0, 0, 0)], prefix.schema))
+    start = F.col("pos") - F.col("at")
+    bounds = (F.col("pos") == READ) & (F.col("k") == 0) | (F.col("k") > 0) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    joined = spread.join(hint(targets), (F.col("found") == F.col("h")) & (F.col("size") == F.col("k"))).where(bounds)
+
+    def equal(start: Column) -> Column:
+        return ascii_lower(F.concat_ws(" ", F.slice("w", start + 1, F.col("n")))) == F.col("window")
+
+    columns = ["row_key", "doc_id", "n_words", "window", "n", start.alias("start")]
+    if small:
+        hits = cut(joined.where((F.col("pos") == READ) | equal(start)).select(*columns), "leak-hits")
+        found = hits.where("window is not null")
+    else:
+        hits = cut(joined.select(*columns), "leak-hits")
+        left = hits.where("window is not null").select("row_key", "window", "n", "start").distinct()
+        found = left.join(read.select("row_key", "w").dropDuplicates(["row_key"]), "row_key").where(equal(F.col("start")))
+    facts = hits.where("window is null").select("row_key", "doc_id", "n_words")
+    found = cut(found.select("row_key", "window", "start", (F.col("start") + F.col("n")).alias("stop")).distinct(), "leak-found")  # repeated rows share their windows
+
+    before = W.partitionBy("row_key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     runs = found.select("row_key", "start", "stop").distinct().withColumn("past", F.coalesce(F.max("stop").over(before), F.lit(0)))
     hit = runs.groupBy("row_key").agg(F.sum(F.greatest(F.col("stop") - F.greatest("start", "past"), F.lit(0))).cast("long").alias("n_hit"))
     named = found.select("row_key", "window").distinct().join(listed.where("item_id is not null").select("window", F.col("item_id").cast("string").alias("item")), "window")
@@ -104,11 +124,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select("doc_id", "row_key", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Rows of one id and text share it."""
-    return F.xxhash64(doc_id, text)
-
-
 def sql(window: int = WINDOW) -> str:
     """DuckDB SQL of the query: windows compared as whole strings."""
     return f"""
