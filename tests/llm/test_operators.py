@@ -262,20 +262,34 @@ def rendered(turns, speaker):
     return text, masks
 
 
+def dialogues(turns, most):
+    """Every participant's whole dialogue, dealt in parts of ``most`` turns; mask offsets are those of the whole."""
+    out = []
+    for conv in {t[0] for t in turns}:
+        own = sorted(((t, w or "unknown", x or "") for c, t, w, x in turns if c == conv), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        said = [(w, x.replace("<|", "<\\|")) for _, w, x in own]
+        for who in {w for w, _ in said}:
+            text, masks = rendered(said, who)
+            ends = [len(rendered(said[:k], who)[0]) for k in range(0, len(said), most)] + [len(text)]
+            out += [(conv, part, who, text[a:b], [m for m in masks if a <= m[0] < b]) for part, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+    return out
+
+
 @pytest.mark.parametrize("most", [4096, 2])
 def test_chat(spark, most):
     df = spark.createDataFrame([(*t, "w", 3) for t in TURNS], "conv_id long, turn long, role string, text string, view string, part int")
-    want = []
-    for conv in (1, 2, None):
-        own = sorted(((t, w or "unknown", x or "") for c, t, w, x in TURNS if c == conv), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-        said = [(w, x.replace("<|", "<\\|")) for _, w, x in own]
-        for part in range(0, len(said), most):
-            turns = said[part : part + most]
-            for who in {w for w, _ in turns}:
-                text, masks = rendered(turns, who)
-                want.append((conv, part // most, who, text, masks))
-    got = [(r.conv_id, r.part, r.perspective, r.rendered, [tuple(m) for m in r.masks]) for r in chat.rotate(df, max_turns=most).collect()]
-    assert ordered(got) == ordered(want)
+    got = [(r.conv_id, r.part, r.perspective, r.rendered, [tuple(m) for m in r.masks]) for r in chat.rotate(df, part_turns=most).collect()]
+    assert ordered(got) == ordered(dialogues(TURNS, most))
+
+
+def test_chat_of_a_long_conversation(spark):
+    """Who speaks at one end only still has the whole dialogue; the parts put together are the plain rendering."""
+    turns = [(1, t, "ann" if t < 5000 else "bob", f"t{t}") for t in range(6000)]
+    parts = {}
+    for r in sorted(chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.part):
+        text, masks = parts.get(r.perspective, ("", []))
+        parts[r.perspective] = text + r.rendered, masks + [tuple(m) for m in r.masks]
+    assert parts == {who: rendered([(w, x) for _, _, w, x in turns], who) for who in ("ann", "bob")}
 
 
 def test_sharding(documents, texts):
