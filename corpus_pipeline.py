@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexgraph.llm import bpe, contamination, quality, secrets, setjoin
 from lexgraph.llm.registry import tokenizer
-from lexgraph.llm.tables import cut, read, with_workers
+from lexgraph.llm.tables import cut, read, row_key, with_workers
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,11 +21,9 @@ def _of(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. A row's verdict is found by its id, text and host."""
+    """Documents that the quality rules reject go, and the boilerplate lines of the others. A row's verdict is found by its id, text and host; ``n_chars`` follows a changed text."""
     docs = _of(docs)
-    verdict = quality.quality_rules(docs).where("kept").select(F.col("row_key").alias("kept_key")).distinct()
-    key = quality.row_key(docs["doc_id"], docs["text"], docs["source"])
-    return docs.join(verdict, key == F.col("kept_key"), "left_semi")
+    return quality.without_boilerplate(docs, cut(quality.quality_rules(docs), "pipeline-verdicts"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     docs = _of(docs)
     found = contamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
     leaks = found.where("contaminated").select(F.col("row_key").alias("leak_key")).distinct()
-    return docs.join(leaks, contamination.row_key(docs["doc_id"], docs["text"]) == F.col("leak_key"), "left_anti")
+    return docs.join(leaks, row_key(docs["doc_id"], docs["text"]) == F.col("leak_key"), "left_anti")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
