@@ -30,8 +30,8 @@ SHINGLE = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what separates words, upper case included.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The place of a row that only says "this document was read".
-READ = -1
+#: Stands first among a document's hashes and says that it was read; a shingle with this hash stands elsewhere.
+MARK = 0
 
 
 def words_of(text: Column) -> Column:
@@ -83,29 +83,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     read = docs.select(row_key(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].cast("long").alias("doc_id"), words_of(docs[text_col]).alias("w")).withColumn("hashes", word_hashes(F.col("w")))
     every = F.flatten(F.array(*[shingle_hashes(F.col("hashes"), k) for k in sizes])) if sizes else F.array().cast("array<bigint>")
-    rarity = read.select(F.explode(every).alias("h")).join(hint(parts.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("times"))
+    rarity = read.select(F.explode_outer(every).alias("h")).join(hint(parts.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count("*").alias("times"))
     rarity = cut(rarity, "leak-rarity")
     ranked = parts.join(rarity, "h", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     prefix = ranked.groupBy("window", "n", "k").agg(F.min("times").alias("least"), F.min(F.struct("times", "h", "at")).alias("rarest")).where("least > 0")
     prefix = cut(prefix.select("window", F.col("n").alias("n"), "k", F.col("rarest.h").alias("h"), F.col("rarest.at").alias("at")), "leak-prefix")
 
-    def placed(k: int) -> Column:
-        return F.transform(shingle_hashes(F.col("hashes"), k), lambda h, i: F.struct(i.alias("pos"), F.lit(k).alias("size"), h.alias("found")))
-
-    mark = F.array(F.struct(F.lit(READ).alias("pos"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("found")))
+    # one array of longs per document goes into the join: the mark of its row, then the shingles of each size; their places follow from their index
     carried = ["row_key", "doc_id", F.size("w").alias("n_words"), *(["w"] if small else [])]
-    spread = read.select(*carried, F.inline(F.concat(mark, *[placed(k) for k in sizes])))
-    targets = prefix.unionByName(prefix.sparkSession.createDataFrame([(None, 0, 0, 0, 0)], prefix.schema))
-    start = F.col("pos") - F.col("at")
-    bounds = (F.col("pos") == READ) & (F.col("k") == 0) | (F.col("k") > 0) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-    joined = spread.join(hint(targets), (F.col("found") == F.col("h")) & (F.col("size") == F.col("k"))).where(bounds)
+    marked = F.concat(F.array(F.lit(MARK)), *[shingle_hashes(F.col("hashes"), k) for k in sizes])
+    spread = read.select(*carried, F.posexplode_outer(marked).alias("index", "found"))
+    targets = prefix.unionByName(prefix.sparkSession.createDataFrame([(None, 0, 0, MARK, 0)], prefix.schema))
+    is_mark = F.col("index") == 0
+    pos, low = F.lit(None).cast("int"), F.lit(1)
+    for k in sizes:
+        pos = F.when(F.col("k") == k, F.col("index") - low).otherwise(pos)
+        low = low + F.greatest(F.col("n_words") - (k - 1), F.lit(0))
+    start = pos - F.col("at")
+    fits = (pos >= 0) & (pos <= F.col("n_words") - F.col("k"))  # the hash stands among those of the window's size
+    bounds = is_mark & (F.col("k") == 0) | ~is_mark & (F.col("k") > 0) & fits & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    joined = spread.join(hint(targets), F.col("found") == F.col("h")).where(bounds)
 
     def equal(start: Column) -> Column:
         return ascii_lower(F.concat_ws(" ", F.slice("w", start + 1, F.col("n")))) == F.col("window")
 
     columns = ["row_key", "doc_id", "n_words", "window", "n", start.alias("start")]
     if small:
-        hits = cut(joined.where((F.col("pos") == READ) | equal(start)).select(*columns), "leak-hits")
+        hits = cut(joined.where(is_mark | equal(start)).select(*columns), "leak-hits")
         found = hits.where("window is not null")
     else:
         hits = cut(joined.select(*columns), "leak-hits")

@@ -126,7 +126,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
 
     keyed = docs.select(row_key(docs[id_col], docs[text_col]).alias("__key"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     texts = keyed.join(hidden.select("row_key"), F.col("__key") == F.col("row_key")).select("row_key", F.col(f"__row.`{text_col}`").alias("text")).dropDuplicates(["row_key"])
-    blocks = texts.select("row_key", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
+    blocks = texts.select("row_key", F.posexplode_outer(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block", "text")).withColumn("block", F.col("block").cast("long"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
