@@ -3,13 +3,15 @@
 A document's set holds its distinct 5-word shingles. Two sets r, s link when 100 |r & s| >= 75 |r | s|; then
 |r ^ s| <= (|r| + |s|) / 7, and their sizes lie in one size band or in neighbouring ones (bands grow by 4/3).
 
-PartEnum: for each band i there is an instance for the sets of bands i and i + 1. It partitions the feature domain (shingle hashes) into n_i
-parts, and a set's signature for a part is the set's projection on it. r ^ s touches at most d parts, so r and s share at least
-n_i - d signatures. Enumerating all n_i signatures per set isn't needed: under one fixed total order of all signatures, the first d + 1 of each
+PartEnum: for each band i there is an instance for the sets of bands i and i + 1. It partitions the feature domain (shingle hashes) into n1
+groups of three parts each and enumerates the subsets of two parts of every group; a set's signature for a subset is the set's projection on it. r ^ s touches at most d parts. A group with no touched part
+has three signatures in common, one with a single touched part has one, others none, so at least 3 n1 - lost(d) are in common, where lost(d) = 2 d for d <= n1, d + n1 up to 2 n1; n1 > d / 2 + 1 keeps it positive.
+Not all 3 n1 signatures of a set need to be written: under one fixed total order of all signatures, the first lost(d) + 1 of each
 set must meet (t common ones of n lie in the first n - t + 1). The order puts rare signatures first, measured by a counting sketch of all shingles of all documents,
 and empty projections last. So boilerplate that a third of all documents share doesn't make signatures, unless a text holds little else.
 
-Equal sets are one set from the start (a set is addressed by a 64-bit digest), so exact copies cost nothing further. Sets that share a signature
+Equal sets are one set from the start, so exact copies cost nothing further. A set is addressed by 64 bits; where two sets of the input share them (a second digest tells), that address is replaced by the second one for
+both, so sets are told apart by 128 bits. Sets that share a signature
 are candidates. Each set emits ``REQUIRED`` - 1 signatures more than needed, so a linked pair shares at least ``REQUIRED`` of them:
 
 * In groups of at most ``SMALL`` sets all pairs are counted, and a pair is compared when it shares enough signatures.
@@ -18,9 +20,9 @@ are candidates. Each set emits ``REQUIRED`` - 1 signatures more than needed, so
   a linked pair shares a signature of a large group, or enough of small ones.
 
 Only the edges of a job's components are returned. Links are verified on the whole sets of 64-bit shingle hashes (two different shingles of
-one comparison collide with probability below 1e-12; two sets of n texts with about n^2 / 2^65).
+one comparison collide with probability below 1e-12).
 
-Skew: signatures travel as packed arrays per (slice of input, bucket); comparisons are dealt by (hub, block, chunk). Tables are joined
+Skew: a signature whose shingles are far more frequent than the average is dealt over several buckets by its sets' addresses; its members form one group again as rows of a table. Signatures travel as packed arrays per (slice of input, bucket); comparisons are dealt by (hub, block, chunk). Tables are joined
 by set, where Spark splits hot keys.
 
 Defined results: null, empty or word-less texts have an empty set (n_shingles 0), link with nothing and are their own component; repeated rows link with one another (equal
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .tables import cut
+from .tables import cut, with_workers
 
 SHINGLE = 5
 U64 = tb.U64
@@ -48,6 +50,11 @@ SKETCH_SLICES = 16
 #: Common signatures that a pair must have in small groups; the size up to which a group is small.
 REQUIRED = 4
 SMALL = 8
+#: Members of a signature that one task should gather at most, beyond twice the mean of the sketch.
+HOT = 50_000
+#: Addresses that two sets may share; n texts share about n^2 / 2^65.
+CLASHES = 1_000_000
+PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Left and right sets of one comparison job.
 LEFT, RIGHT = 256, 4096
 _LIMIT = 1 << 40
@@ -64,11 +71,16 @@ def band_starts() -> np.ndarray:
 BANDS = band_starts()
 
 
-def parts_of(band: np.ndarray) -> np.ndarray:
-    """n_i: the number of parts of a band's instance; small sets get about one feature a part, larger ones about two."""
+def groups_of(band: np.ndarray) -> np.ndarray:
+    """n1: the number of groups of three parts of a band's instance, by the largest difference of its sets; two more than needed, so that linked sets share ``REQUIRED`` signatures."""
     top = BANDS[band + 2] - 1
-    most = (np.minimum(BANDS[band + 1] - 1 + top, 2 * top)) // 7 + 1
-    return np.where(BANDS[band] < 64, 4 * BANDS[band + 1], (3 * most) // 2 + 1)
+    most = np.minimum(BANDS[band + 1] - 1 + top, 2 * top) // 7
+    return most // 2 + 3
+
+
+def lost(d: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The most signatures of 3 n1 that ``d`` touched parts can change."""
+    return np.where(d <= n1, 2 * d, np.minimum(d + n1, 3 * n1))
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -98,28 +110,39 @@ def _sizes(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.concatenate([[0], np.cumsum(size)])
 
 
-def set_ids(owner: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
-    """A 64-bit address of each set; 0 of the empty set."""
+def set_ids(owner: np.ndarray, value: np.ndarray, n_docs: int, clash: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit address of each set, 0 of the empty set; sets whose address is in ``clash`` have their second digest."""
+    sid = _digests(owner, value, n_docs, 0x5851F42D4C957F2D)
+    if clash is not None and len(clash):
+        again = np.isin(sid, clash)
+        sid[again] = _digests(owner, value, n_docs, SECOND)[again]
+    return sid
+
+
+SECOND = 0xA24BAED4963EE407
+
+
+def _digests(owner: np.ndarray, value: np.ndarray, n_docs: int, seed: int) -> np.ndarray:
     size, at = _sizes(owner, n_docs)
     total = np.zeros(len(value) + 1, dtype=U64)
-    np.cumsum(tb.mix(value ^ U64(0x5851F42D4C957F2D)), out=total[1:])
-    return np.where(size > 0, tb.mix((total[at[1:]] - total[at[:-1]]) ^ tb.mix(size.astype(U64))), U64(0))
+    np.cumsum(tb.mix(value ^ U64(seed)), out=total[1:])
+    return np.where(size > 0, tb.mix((total[at[1:]] - total[at[:-1]]) ^ tb.mix(size.astype(U64) + U64(seed))), U64(0))
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass 1: doc_id, size and address of each set; the task's part of the sketch as rows with a slice number."""
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    names = ["doc_id", "n", "sid", "slice", "counts"]
+    names = ["doc_id", "n", "sid", "second", "slice", "counts"]
     for batch in batches:
         for rows, data, offsets in tb.slices(batch, "text"):
             ids = rows.column(rows.schema.get_field_index("doc_id"))
             n = len(ids)
             owner, value = sets(data, offsets)
             counts += np.bincount((value >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_sizes(owner, n)[0]), pa.array(set_ids(owner, value, n).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_sizes(owner, n)[0]), *(pa.array(x.view(np.int64)) for x in (set_ids(owner, value, n), _digests(owner, value, n, SECOND))), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     small = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32).reshape(SKETCH_SLICES, -1)
     none = pa.nulls(SKETCH_SLICES, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(SKETCH_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(SKETCH_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=names)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +156,16 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
 
-def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The signatures each set must emit: (owner, 64-bit signature, whether one in common suffices)."""
+def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures each set must emit: (owner, 64-bit signature, whether one in common suffices, count of its rarest shingle)."""
     size, at = _sizes(owner, n_docs)
     band = np.searchsorted(BANDS, size, side="right") - 1
     rarity = sketch[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)]
     spread = tb.mix(value)  # its high bits choose the part; the sort order by value isn't kept
     order = np.lexsort((spread, owner))
     spread, rarity, owner_s = spread[order], rarity[order], owner[order]
-    out_owner, out_sig, out_mark = [], [], []
+    never = np.iinfo(np.int64).max
+    out: list[tuple[np.ndarray, ...]] = []
     for upper in (False, True):
         inst = band - 1 if upper else band
         use = (size > 0) & (inst >= 0)
@@ -151,56 +175,79 @@ def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.nda
             d = (size + high - 1) // 7
         else:  # partners: sets of the same band and of the next
             d = (size + np.minimum(4 * size // 3, BANDS[np.maximum(inst, 0) + 2] - 1)) // 7
-        parts = parts_of(np.maximum(inst, 0))
+        n1 = groups_of(np.maximum(inst, 0))
         keep = use[owner_s]
         o, v, r = owner_s[keep], spread[keep], rarity[keep]
         if not len(o):
             continue
-        part = ((v >> U64(32)) * parts[o].astype(U64)) >> U64(32)
+        part = (((v >> U64(32)) * (3 * n1[o]).astype(U64)) >> U64(32)).astype(np.int64)
         new = np.ones(len(o), dtype=bool)
         new[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
         start = np.flatnonzero(new)
-        sig = tb.mix(np.add.reduceat(tb.mix(v), start) ^ tb.mix(part[start] + inst[o[start]].astype(U64) * U64(0xD1342543DE82EF95)))
-        rare = np.minimum.reduceat(r, start)
-        so = o[start]
-        # d + REQUIRED signatures; a set with fewer filled parts emits what it has, d + 1 at least, and is marked:
-        # any signature in common makes it a candidate. Empty parts come after all others, in the order of their numbers
-        filled = np.bincount(so, minlength=n_docs)
-        wanted = d + np.clip(filled - d, 1, REQUIRED)
-        short = np.flatnonzero(use & (filled < d + 1))
-        for x in short:
-            empty = np.setdiff1d(np.arange(parts[x], dtype=U64), part[start][so == x])[: d[x] + 1 - filled[x]]
-            so = np.concatenate([so, np.full(len(empty), x)])
-            sig = np.concatenate([sig, tb.mix(empty + U64(inst[x]) * U64(0xA24BAED4963EE407))])
-            rare = np.concatenate([rare, np.iinfo(np.int64).max - int(parts.max()) + empty.astype(np.int64)])
+        total, rare, part, o = np.add.reduceat(tb.mix(v), start), np.minimum.reduceat(r, start), part[start], o[start]
+        # a row per (set, group), a column per part of the group
+        group, place = part // 3, part % 3
+        new = np.ones(len(o), dtype=bool)
+        new[1:] = (o[1:] != o[:-1]) | (group[1:] != group[:-1])
+        row, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        sums, least = np.zeros((len(first), 3), dtype=U64), np.full((len(first), 3), never)
+        sums[row, place], least[row, place] = total, rare
+        ow, gr = o[first], group[first]
+        code = np.concatenate([gr * 3 + k for k in range(3)])
+        so = np.tile(ow, 3)
+        projection = np.concatenate([sums[:, a] + sums[:, b] for a, b in PAIRS])
+        rare = np.concatenate([np.minimum(least[:, a], least[:, b]) for a, b in PAIRS])
+        sig = tb.mix(projection ^ tb.mix(code.astype(U64) + inst[so].astype(U64) * U64(0xD1342543DE82EF95)))
+        some = rare < never
+        code, so, sig, rare = code[some], so[some], sig[some], rare[some]
+        # lost(d) + REQUIRED signatures; a set with fewer filled projections emits what it has, lost(d) + 1 at least, and is marked:
+        # any signature in common makes it a candidate. Empty projections come after all others, in the order of their numbers
+        filled, gone = np.bincount(so, minlength=n_docs), lost(d, n1)
+        wanted = gone + np.clip(filled - gone, 1, REQUIRED)
+        short = np.flatnonzero(use & (filled < gone + 1))
+        if len(short):
+            order = np.argsort(so, kind="stable")
+            bounds = np.searchsorted(so[order], [short, short + 1])
+            more = []
+            for x, a, b in zip(short, *bounds, strict=True):
+                empty = np.setdiff1d(np.arange(3 * n1[x]), code[order[a:b]])[: gone[x] + 1 - filled[x]]
+                more.append((np.full(len(empty), x), tb.mix(empty.astype(U64) + inst[[x]].astype(U64) * U64(SECOND)), never - 3 * int(n1.max()) + empty))
+            so, sig, rare = (np.concatenate([one, *rest]) for one, rest in zip((so, sig, rare), zip(*more, strict=True), strict=True))
         order = np.lexsort((sig, rare, so))
-        so, sig = so[order], sig[order]
+        so, sig, rare = so[order], sig[order], rare[order]
         begin = np.searchsorted(so, np.arange(n_docs))
         take = np.arange(len(so)) - begin[so] < wanted[so]
-        out_owner.append(so[take])
-        out_sig.append(sig[take])
-        out_mark.append((wanted - d < REQUIRED)[so[take]])
-    if not out_sig:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
-    return np.concatenate(out_owner), np.concatenate(out_sig), np.concatenate(out_mark)
+        out.append((so[take], sig[take], (wanted - gone < REQUIRED)[so[take]], rare[take]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
 
+SIG_BITS = 46
+_HOT_BIT, _MARK_BIT = U64(SIG_BITS), U64(SIG_BITS + 1)
 
-def _tokens(n_buckets: int, sketch):
+
+def _tokens(n_buckets: int, sketch, clash, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, dtype=np.uint32).astype(np.int64)
+        most = max(1, hot + 2 * int(counts.mean()))
         for batch in batches:
             for rows, data, offsets in tb.slices(batch, "text"):
                 n = rows.num_rows
                 owner, value = sets(data, offsets)
-                sid = set_ids(owner, value, n)
+                sid = set_ids(owner, value, n, clash)
                 _, once = np.unique(sid, return_index=True)  # equal sets of a slice emit once
                 keep = np.zeros(n, dtype=bool)
                 keep[once] = True
                 value, owner = value[keep[owner]], owner[keep[owner]]
-                who, sig, mark = signatures(owner, value, n, counts)
-                bucket = ((sig >> U64(40)) * U64(n_buckets) >> U64(24)).astype(np.int64)
+                who, sig, mark, rare = signatures(owner, value, n, counts)
+                # a frequent signature's sets are dealt over several buckets; empty projections are as frequent as can be told
+                shares = np.where(rare > most, np.minimum(rare // most, n_buckets), 1)
+                salt = tb.mix(sid[who]) % shares.astype(U64)
+                dealt = np.where(salt > 0, tb.mix(sig ^ salt), sig)
+                bucket = ((dealt >> U64(40)) * U64(n_buckets) >> U64(24)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                who, sig, mark, bucket = who[order], sig[order], mark[order], bucket[order]
+                who, sig, mark, split, bucket = who[order], sig[order], mark[order], (shares > 1)[order], bucket[order]
                 cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 blobs, numbers = [], []
                 for b in range(n_buckets):
@@ -208,7 +255,7 @@ def _tokens(n_buckets: int, sketch):
                     w, s = who[at], sig[at]
                     if len(w):
                         there, local = np.unique(w, return_inverse=True)
-                        low = (s & U64((1 << 47) - 1)) | (mark[at].astype(U64) << U64(47))
+                        low = (s & U64((1 << SIG_BITS) - 1)) | (split[at].astype(U64) << _HOT_BIT) | (mark[at].astype(U64) << _MARK_BIT)
                         blobs.append(len(there).to_bytes(4, "little") + sid[there].tobytes() + local.astype("<u2").tobytes() + low.astype("<u4").tobytes() + (low >> U64(32)).astype("<u2").tobytes())
                         numbers.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "tokens"])
@@ -227,42 +274,50 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys[local], low | (high << U64(32))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(small: int):
     """Of each task's buckets: pairs of small groups with the signatures they share there (kind 0: a, b, n), and members of large groups (kind 1: group, set)."""
-    buckets: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            buckets.setdefault(b, []).append(blob)
-    for b in sorted(buckets):
-        parts = [_unpacked(x) for x in buckets.pop(b)]
-        key, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        mark, sig = (sig >> U64(47)).astype(bool), sig & U64((1 << 47) - 1)
-        order = np.lexsort((key, sig))
-        key, sig, mark = key[order], sig[order], mark[order]
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        key, sig, mark = key[fresh], sig[fresh], mark[fresh]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.concatenate([start, [len(key)]]))
-        pairs = []
-        for size in range(2, SMALL + 1):
-            at = start[count == size]
-            for i in range(size):
-                for j in range(i + 1, size):
-                    weight = np.where(mark[at + i] | mark[at + j], REQUIRED, 1)
-                    pairs.append(np.stack([key[at + i], key[at + j], weight], axis=1))
-        if pairs and sum(map(len, pairs)):
-            rows = np.concatenate(pairs)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            new = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
-            yield from _packed_rows(0, rows[new, 0], rows[new, 1], np.add.reduceat(rows[:, 2], new))
-        large = np.repeat(count > SMALL, count)
-        if large.any():
-            # groups of the same members are one group
-            total = np.add.reduceat(tb.mix(key.view(U64)), start)
-            name = np.repeat(tb.mix(total ^ count.astype(U64)), count).view(np.int64)
-            member, n = np.unique(np.stack([name[large], key[large]], axis=1), axis=0, return_counts=True)
-            yield from _packed_rows(1, member[:, 0].copy(), member[:, 1].copy(), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                buckets.setdefault(b, []).append(blob)
+        for b in sorted(buckets):
+            parts = [_unpacked(x) for x in buckets.pop(b)]
+            yield from _grouped(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), small)
+
+    return run
+
+
+def _grouped(key: np.ndarray, sig: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
+    mark, sig = (sig >> _MARK_BIT).astype(bool), sig & U64((1 << (SIG_BITS + 1)) - 1)  # the hot bit stays: split groups aren't mixed with others
+    order = np.lexsort((key, sig))
+    key, sig, mark = key[order], sig[order], mark[order]
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    key, sig, mark = key[fresh], sig[fresh], mark[fresh]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.concatenate([start, [len(key)]]))
+    split = (sig[start] >> _HOT_BIT).astype(bool)
+    pairs = []
+    for size in range(2, small + 1):
+        at = start[(count == size) & ~split]
+        for i in range(size):
+            for j in range(i + 1, size):
+                weight = np.where(mark[at + i] | mark[at + j], REQUIRED, 1)
+                pairs.append(np.stack([key[at + i], key[at + j], weight], axis=1))
+    if pairs and sum(map(len, pairs)):
+        rows = np.concatenate(pairs)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])]))
+        yield from _packed_rows(0, rows[new, 0], rows[new, 1], np.add.reduceat(rows[:, 2], new))
+    large = np.repeat((count > small) | split, count)
+    if large.any():
+        # groups of the same members are one group; a split one is named by its signature, in all of its buckets
+        total = np.add.reduceat(tb.mix(key.view(U64)), start)
+        name = np.repeat(np.where(split, tb.mix(sig[start]), tb.mix(total ^ count.astype(U64))), count).view(np.int64)
+        member, n = np.unique(np.stack([name[large], key[large]], axis=1), axis=0, return_counts=True)
+        yield from _packed_rows(1, member[:, 0].copy(), member[:, 1].copy(), n)
 
 
 def _packed_rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -271,14 +326,17 @@ def _packed_rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int8)), pa.array(a[part]), pa.array(b[part]), pa.array(n[part].astype(np.int64))], names=["kind", "a", "b", "n"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, data, offsets in tb.slices(batch, "text"):
-            n = rows.num_rows
-            owner, value = sets(data, offsets)
-            _, at = _sizes(owner, n)
-            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(value)])
-            yield pa.RecordBatch.from_arrays([pa.array(set_ids(owner, value, n).view(np.int64)), whole.cast(pa.binary())], names=["key", "members"])
+def _set_rows(clash):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in tb.slices(batch, "text"):
+                n = rows.num_rows
+                owner, value = sets(data, offsets)
+                _, at = _sizes(owner, n)
+                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(value)])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(owner, value, n, clash).view(np.int64)), whole.cast(pa.binary())], names=["key", "members"])
+
+    return run
 
 
 def _compared(percent: int):
@@ -337,24 +395,36 @@ def _compared(percent: int):
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, row_key. ``percent`` is fixed by the bands at 75 or more."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id. ``percent`` is fixed by the bands at 75 or more."""
     if not 75 <= percent <= 100:
         raise ValueError("the size bands hold for 75 to 100 percent")
-    spark = docs.sparkSession
+    spark = with_workers(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    pass1 = cut(rows.mapInArrow(_facts, "doc_id long, n long, sid long, slice int, counts binary"), "setjoin-facts")
-    facts = pass1.where("slice is null").select("doc_id", "n", "sid")
+    pass1 = cut(rows.mapInArrow(_facts, "doc_id long, n long, sid long, second long, slice int, counts binary"), "setjoin-facts")
+    facts = pass1.where("slice is null").select("doc_id", "n", "sid", "second")
+
+    def sets_of(facts: DataFrame) -> DataFrame:
+        return cut(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")), "setjoin-known")
+
+    known = sets_of(facts)
+    found = [r[0] for r in known.where("low <> high").select("sid").limit(CLASHES + 1).collect()]
+    if len(found) > CLASHES:
+        raise ValueError("too many sets share an address")
+    clash = np.array(found, dtype=np.int64).view(U64)
+    if found:
+        twice = spark.createDataFrame([(x, True) for x in found], "sid long, clashes boolean")
+        facts = facts.join(twice, "sid", "left").withColumn("sid", F.when(F.col("clashes"), F.col("second")).otherwise(F.col("sid")))
+        known = sets_of(facts)
     merged = pass1.where("slice is not null").select("slice", "counts").mapInArrow(_added, "slice int, counts binary").repartition(SKETCH_SLICES, "slice").mapInArrow(_added, "slice int, counts binary")
     whole: dict[int, np.ndarray] = {}  # a sketch of fixed size (1 MB), whatever the input
     for k, x in merged.collect():
         whole[k] = np.frombuffer(bytes(x), dtype=np.uint32)
     sketch = spark.sparkContext.broadcast(b"".join(whole[k].tobytes() for k in range(SKETCH_SLICES)) if whole else np.zeros(1 << SKETCH_BITS, np.uint32).tobytes())
 
-    tokens = rows.mapInArrow(_tokens(n_buckets, sketch), "bucket int, tokens binary")
-    found = cut(tokens.repartition(n_buckets, "bucket").mapInArrow(_groups, "kind byte, a long, b long, n long"), "setjoin-groups")
-    known = facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    tokens = rows.mapInArrow(_tokens(n_buckets, sketch, clash, HOT), "bucket int, tokens binary")
+    found = cut(tokens.repartition(n_buckets, "bucket").mapInArrow(_groups(SMALL), "kind byte, a long, b long, n long"), "setjoin-groups")
 
     # small groups: pairs with enough signatures and near enough sizes, one job per left set
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= REQUIRED).select("a", "b")
@@ -368,7 +438,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = asked.select("key").union(asked.select("hub")).distinct()
     owners = known.join(wanted, known["sid"] == wanted["key"], "left_semi").select("doc_id").distinct()
     texts = rows.join(owners, rows["doc_id"].eqNullSafe(owners["doc_id"]), "left_semi").select("text")
-    members_of = cut(texts.mapInArrow(_set_rows, "key long, members binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets")
+    members_of = cut(texts.mapInArrow(_set_rows(clash), "key long, members binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "setjoin-sets")
 
     def compared(jobs: DataFrame, label: str) -> DataFrame:
         """jobs: job, side (0 left, 1 right), key."""

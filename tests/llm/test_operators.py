@@ -28,6 +28,21 @@ def test_jaccard_by_hubs(documents, texts, monkeypatch):
     assert ordered(got) == ordered(jaccard(texts))
 
 
+def test_jaccard_of_split_signatures(documents, texts, monkeypatch):
+    """Every signature is dealt over several buckets, and sets that share an address are told apart."""
+    monkeypatch.setattr(setjoin, "HOT", 0)
+    got = setjoin.jaccard_groups(documents).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(jaccard(texts))
+
+
+def test_set_addresses():
+    owner, value = np.array([0, 0, 1, 2]), np.array([3, 5, 7, 3], dtype=np.uint64)
+    plain = setjoin.set_ids(owner, value, 4)
+    assert len(set(plain)) == 4 and plain[3] == 0
+    moved = setjoin.set_ids(owner, value, 4, plain[1:2])
+    assert moved[1] != plain[1] and (moved[[0, 2, 3]] == plain[[0, 2, 3]]).all()
+
+
 def test_signatures_meet():
     """Sets of a similarity of 0.75 or more share enough signatures, whatever their sizes."""
     rng = np.random.default_rng(5)
@@ -41,7 +56,7 @@ def test_signatures_meet():
             if 100 * common < 75 * (len(a) + len(b) - common):
                 continue
             owner = np.repeat([0, 1], [len(a), len(b)])
-            who, sig, mark = setjoin.signatures(owner, np.concatenate([a, b]), 2, sketch)
+            who, sig, mark, _ = setjoin.signatures(owner, np.concatenate([a, b]), 2, sketch)
             shared = set(sig[who == 0]) & set(sig[who == 1])
             need = 1 if mark.any() else setjoin.REQUIRED
             assert len(shared) >= need, (n, drop)
