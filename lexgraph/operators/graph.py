@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes of such a dimension, with its texts.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows and ``size`` bytes (of its rows as JSON, an upper bound of their values)."""
+    whole = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(whole), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def hierarchy(levels: Sequence[tuple[DataFrame, str, Column, Column | None, Column]]) -> DataFrame:
@@ -36,19 +42,24 @@ def ancestors(nodes: DataFrame, depth: int = 4) -> DataFrame:
     return out
 
 
-def neighbourhood(nodes: DataFrame, references: DataFrame, targets: DataFrame, cap: int = 30) -> DataFrame:
-    """JN-08: per target id its own row, children and references of up to two hops and one hop, parents of up to two; first by priority, at most ``cap`` each (the cap is the report's size)."""
-    down = nodes.select(F.col("parent_id").alias("__p"), F.col("id").alias("near"))
-    up = nodes.where("parent_id is not null").select(F.col("id").alias("__c"), F.col("parent_id").alias("near"))
+def neighbourhood(down: Sequence[DataFrame], up: Sequence[DataFrame], references: DataFrame, targets: DataFrame, cap: int = 30) -> DataFrame:
+    """JN-08: per target id its own row, children and references, and parents; first by priority, at most ``cap`` each (the cap is the report's size).
+
+    ``down`` and ``up`` hold the nodes (id, parent_id) that a hop can reach, one table per hop: of levels above or below a hop's nothing is read."""
     both = references.select("src", "dst").union(references.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    own = targets.select("id", F.col("id").alias("near"), F.lit(0).alias("priority"))
-    child = targets.join(down, targets["id"] == F.col("__p")).select("id", "near", F.lit(1).alias("priority"))
-    grand = child.select("id", F.col("near").alias("__m")).join(down, F.col("__m") == F.col("__p")).select("id", "near", F.lit(1).alias("priority"))
-    linked = targets.join(both, targets["id"] == F.col("src")).select("id", F.col("dst").alias("near"), F.lit(2).alias("priority"))
-    parent = targets.join(up, targets["id"] == F.col("__c")).select("id", "near", F.lit(3).alias("priority"))
-    older = parent.select("id", F.col("near").alias("__m")).join(up, F.col("__m") == F.col("__c")).select("id", "near", F.lit(3).alias("priority"))
-    every = own.union(child).union(grand).union(linked).union(parent).union(older).groupBy("id", "near").agg(F.min("priority").alias("priority"))
-    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("priority", "near")))
+    found = [targets.select("id", F.col("id").alias("near"), F.lit(0).alias("priority"))]
+    found.append(targets.join(both, targets["id"] == F.col("src")).select("id", F.col("dst").alias("near"), F.lit(2).alias("priority")))
+    for tables, key, value, priority in ((down, "parent_id", "id", 1), (up, "id", "parent_id", 3)):
+        at = targets.select("id", F.col("id").alias("__m"))
+        for nodes in tables:
+            hop = nodes.where("parent_id is not null").select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+            at = at.join(hop, F.col("__m") == F.col("__k")).select("id", F.col("__v").alias("__m"))
+            found.append(at.select("id", F.col("__m").alias("near"), F.lit(priority).alias("priority")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    best = every.groupBy("id", "near").agg(F.min("priority").alias("priority"))
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("priority", "near")))
     return ranked.where(F.col("rank") <= cap)
 
 

@@ -22,14 +22,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
+#: Queries that one pass of :func:`knn` sends to every task.
+QUERY_BLOCK = 20_000
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """TX-01, SO-01: the k most similar vectors of each query (exact; ties to the smaller id).
 
-    Queries are a stated set against all rows: the counted small side is sent to every task, and each task keeps its own k best per query before the shuffle
-    (Spark plans the rank limit on both sides of it)."""
-    scored = vectors.join(small(queries)).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("dense_score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense_score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+    Queries are a stated set against all rows, in blocks: ``QUERY_BLOCK`` queries at most are sent to every task in one pass over the vectors, and each task keeps its own k best per query before the shuffle
+    (Spark plans the rank limit on both sides of it). More queries take more passes; a query is in one block only, so its ranking is whole."""
+    n = queries.count()
+    blocks = -(-n // QUERY_BLOCK) or 1
+    best = None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = vectors.join(F.broadcast(part)).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("dense_score"))
+        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense_score"), "id"))).where(F.col("rank") <= k)
+        best = ranked if best is None else best.union(ranked)
+    return best
 
 
 def terms(text: Column) -> Column:
@@ -89,11 +99,12 @@ def guard(chunks: DataFrame, must: Sequence[str], must_not: Sequence[str]) -> Da
     """FL-11: rows that lack every must term and hold a must-not term go. If no row of the query has a must term all stay; with must-not terms only, violators go unless all would."""
     hay = F.lower(F.concat_ws(" ", "title", "text"))
     holds = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>"), lambda t: F.contains(hay, t))
-    per = W.partitionBy("query_id")
     marked = chunks.withColumn("has", holds(must)).withColumn("bad", holds(must_not))
-    if must:
-        return marked.withColumn("any", F.max("has").over(per)).where(~F.col("any") | F.col("has") | ~F.col("bad")).drop("has", "bad", "any")
-    return marked.withColumn("all_bad", F.min("bad").over(per)).where(F.col("all_bad") | ~F.col("bad")).drop("has", "bad", "all_bad")
+    # one small row per query is joined back, so no query's texts are gathered
+    facts = marked.groupBy(F.col("query_id").alias("__q")).agg(F.max("has").alias("__any"), F.min("bad").alias("__all_bad"))
+    judged = marked.join(facts, F.col("query_id").eqNullSafe(F.col("__q")))
+    stays = ~F.col("__any") | F.col("has") | ~F.col("bad") if must else F.col("__all_bad") | ~F.col("bad")
+    return judged.where(stays).drop("has", "bad", "__q", "__any", "__all_bad")
 
 
 def diversify(ranked: DataFrame, classes: Sequence[str], top_k: int) -> DataFrame:
@@ -113,13 +124,46 @@ def best_per_parent(units: DataFrame, n: int = 3) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("parent_rank", "in_parent", "id")))
 
 
-def lexical_density(query: Column, text: Column) -> Column:
-    """ST-20, SE-08, SO-11: coverage * 10 + min(tf, 20) * 0.1 + 2 * bigrams, by substrings; 0 if no token matches. Tokens: the first 30 distinct query words of two or more characters."""
-    tokens = F.slice(F.array_distinct(F.filter(terms(query), lambda t: F.char_length(t) > 1)), 1, 30)
-    low = F.lower(text)
+#: Phrases of a question and the phrases of a text that answer to them.
+EXPANSIONS = [
+    (("đèn đỏ", "đèn tín hiệu", "vượt đèn"), ("đèn tín hiệu", "đèn tín hiệu giao thông", "hiệu lệnh của đèn")),
+    (("xe máy", "mô tô"), ("xe mô tô", "xe gắn máy", "xe mô tô, xe gắn máy")),
+    (("nồng độ cồn", "uống rượu", "uống bia"), ("nồng độ cồn", "trong máu hoặc hơi thở")),
+    (("mũ bảo hiểm",), ("mũ bảo hiểm",)),
+    (("tốc độ", "quá tốc độ"), ("quá tốc độ",)),
+    (("ngược chiều",), ("ngược chiều",)),
+    (("tai nghe", "đeo tai nghe", "thiết bị âm thanh"), ("thiết bị âm thanh", "trừ thiết bị trợ thính")),
+]
+#: Questions about lights, and what a text about overtaking says and lacks.
+LIGHTS, OVERTAKING, LIGHT = ("đèn đỏ", "đèn tín hiệu", "vượt đèn"), "vượt xe", "đèn"
+
+
+def _any(hay: Column, words: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(hay, F.lit(word))
+    return found
+
+
+def density_query(text: Column) -> Column:
+    """What :func:`lexical_density` needs of a question, as a struct to be computed once per question: distinct tokens of two or more characters, bigrams of all of them, and the groups of phrases it asks for."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda t: F.char_length(t) > 1)
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    bigrams = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda x, y: F.concat(x, F.lit(" "), y))
+    asked = F.filter(F.array(*[F.when(_any(low, triggers), F.array(*[F.lit(t) for t in targets])) for triggers, targets in EXPANSIONS]), lambda x: x.isNotNull())
+    return F.struct(F.array_distinct(words).alias("tokens"), bigrams.alias("bigrams"), asked.alias("phrases"), _any(low, LIGHTS).alias("lights"))
+
+
+def lexical_density(asked: Column, low: Column) -> Column:
+    """ST-20, SE-08, SO-11: coverage * 10 + min(tf, 20) * 0.1 + 2 per bigram + 3 per answered group of phrases - 4 for a text about overtaking where lights are asked for; by substrings, 0 at least, 0 if nothing counts.
+
+    ``asked`` is a column of :func:`density_query`, ``low`` the text in lower case; give both as columns of an earlier projection, so that neither is computed again per token."""
+    tokens = asked["tokens"]
     matched = F.filter(tokens, lambda t: F.contains(low, t))
-    tf = F.aggregate(matched, F.lit(0).cast("double"), lambda s, t: s + ((F.char_length(low) - F.char_length(F.replace(low, t))) / F.char_length(t)))
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    bigrams = F.size(F.filter(pairs, lambda p: F.contains(low, p)))
-    score = F.size(matched) / F.size(tokens) * 10 + F.least(tf, F.lit(20.0)) * 0.1 + 2 * bigrams
-    return F.when(F.size(matched) == 0, F.lit(0.0)).otherwise(F.round(score, 4))
+    tf = F.aggregate(matched, F.lit(0).cast("double"), lambda s, t: s + (F.char_length(low) - F.char_length(F.replace(low, t))) / F.char_length(t))
+    bonus = 2 * F.size(F.filter(asked["bigrams"], lambda p: F.contains(low, p))) + 3 * F.size(F.filter(asked["phrases"], lambda group: F.exists(group, lambda p: F.contains(low, p))))
+    bonus = bonus - F.when(asked["lights"] & F.contains(low, F.lit(OVERTAKING)) & ~F.contains(low, F.lit(LIGHT)), 4).otherwise(0)
+    score = F.size(matched) / F.size(tokens) * 10 + F.least(tf, F.lit(20.0)) * 0.1 + bonus
+    nothing = (F.coalesce(low, F.lit("")) == "") | (F.size(tokens) == 0) | (F.size(matched) == 0) & (bonus <= 0)
+    return F.when(nothing, F.lit(0.0)).otherwise(F.round(F.greatest(score, F.lit(0.0)), 4))

@@ -26,13 +26,17 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _vector_queries(spark, sf_dir, n=5):
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+#: The stated query set of every search: rows whose id is divisible by this, against all rows.
+EVERY = 50
+
+
+def _vector_queries(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 DOT = "least(greatest(list_sum(list_transform(generate_series(1, len(e.embedding)), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), -1.0), 1.0)"
 KNN = f"""dense AS (SELECT query_id, id, dense_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, id) AS rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT}, 6) AS dense_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q)) WHERE rank <= 20)"""
+  SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT}, 6) AS dense_score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 20)"""
 
 
 @query(f"WITH {KNN} SELECT * FROM dense")
@@ -51,7 +55,7 @@ def so01_filter_after_knn(spark, sf_dir):
 WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 BM25 = f"""base AS (SELECT doc_id AS id, {WORDS.format("text")} AS w FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM base),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format("text")}) AS term FROM benchmark WHERE item_id < 5),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.format("text")}) AS term FROM benchmark WHERE item_id % 50 = 0),
 held AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM base) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM held GROUP BY term),
 scored AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS sparse_score FROM held JOIN df USING (term) JOIN asked USING (term), stats GROUP BY ALL),
@@ -62,8 +66,8 @@ def _units(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
 
 
-def _text_queries(spark, sf_dir, n=5):
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), "text")
+def _text_queries(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {BM25} SELECT * FROM sparse")
@@ -133,16 +137,24 @@ def fl11_guard_only_must_not(spark, sf_dir):
     return retrieval.guard(chunks, [], [" the "]).select("query_id", "doc_id")
 
 
-@query(f"""WITH q AS (SELECT {WORDS.format("text")} AS w FROM benchmark WHERE item_id = 0),
-o AS (SELECT w[i] AS t, min(i) AS p FROM q, unnest(generate_series(1, len(w))) AS g(i) WHERE length(w[i]) > 1 GROUP BY 1),
-tk AS (SELECT list(t ORDER BY p)[1:30] AS tokens FROM o),
-d AS (SELECT doc_id, lower(text) AS low, tokens, list_filter(tokens, lambda t: contains(lower(text), t)) AS matched FROM documents, tk)
-SELECT doc_id, CASE WHEN len(matched) = 0 THEN 0.0 ELSE round(len(matched) / len(tokens) * 10 + least(list_sum(list_transform(matched, lambda t: (length(low) - length(replace(low, t, ''))) / length(t))), 20.0) * 0.1
-  + 2 * len(list_filter(generate_series(1, len(tokens) - 1), lambda i: contains(low, tokens[i] || ' ' || tokens[i + 1]))), 4) END AS density FROM d""")
+def _contains(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+PHRASES = " + ".join(f"CASE WHEN {_contains('ql', triggers)} AND {_contains('low', targets)} THEN 3 ELSE 0 END" for triggers, targets in retrieval.EXPANSIONS)
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, lower(text) AS ql, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 1) AS w FROM benchmark WHERE item_id % 50 = 0),
+tk AS (SELECT *, list_distinct(w) AS tokens, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) AS bigrams FROM q),
+d AS (SELECT *, list_filter(tokens, lambda t: contains(low, t)) AS matched FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), tk),
+b AS (SELECT *, 2 * len(list_filter(bigrams, lambda p: contains(low, p))) + {PHRASES} - CASE WHEN {_contains("ql", retrieval.LIGHTS)} AND contains(low, '{retrieval.OVERTAKING}') AND NOT contains(low, '{retrieval.LIGHT}') THEN 4 ELSE 0 END AS bonus FROM d)
+SELECT query_id, doc_id, CASE WHEN low = '' OR len(tokens) = 0 OR (len(matched) = 0 AND bonus <= 0) THEN 0.0 ELSE round(greatest(len(matched) / len(tokens) * 10
+  + least(coalesce(list_sum(list_transform(matched, lambda t: (length(low) - length(replace(low, t, ''))) / length(t))), 0.0), 20.0) * 0.1 + bonus, 0.0), 4) END AS density FROM b""")
 def st20_lexical_density(spark, sf_dir):
-    """ST-20, SE-08, SO-11: lexical density of every document for one query (the generic part)."""
-    one = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("q"))
-    return table(spark, sf_dir, "documents").join(retrieval.small(one)).select("doc_id", retrieval.lexical_density(F.col("q"), F.col("text")).alias("density"))
+    """ST-20, SE-08, SO-11: lexical density of every document for every question of the stated set."""
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), retrieval.density_query(F.col("text")).alias("asked"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return docs.join(retrieval.small(asked)).select("query_id", "doc_id", retrieval.lexical_density(F.col("asked"), F.col("low")).alias("density"))
 
 
 @query("""WITH p AS (SELECT lang AS grp, doc_id AS id FROM documents WHERE n_chars > 1000), t AS (SELECT d.lang AS grp, l.doc_id AS id FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1),
@@ -194,16 +206,21 @@ def pr12_root_cause(spark, sf_dir):
     return rows.select("doc_id", evaluate.root_cause(F.col("n_chars") > 1000, F.col("quality") == 1, F.col("toxic") == 1).alias("cause"))
 
 
-@query("SELECT source, lang, count(*) AS n, md5(string_agg(left(text, 20), '|' ORDER BY doc_id)) AS heads, min(doc_id) AS first_id FROM documents GROUP BY source, lang")
+@query("""WITH b AS (SELECT source, lang, doc_id // 1000 AS bucket, count(*) AS n, md5(string_agg(md5(coalesce(text, '')), '|' ORDER BY doc_id)) AS part, min(doc_id) AS first_id FROM documents GROUP BY source, lang, bucket)
+SELECT source, lang, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(part, '|' ORDER BY bucket)) AS texts, min(first_id) AS first_id FROM b GROUP BY source, lang""")
 def ag03_grouping(spark, sf_dir):
-    """AG-03, AG-25, PR-15: documents grouped with an ordered concatenation (of short heads, so a group's list stays light)."""
-    head = F.struct("doc_id", F.substring("text", 1, 20).alias("t"))
-    held = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(head)).alias("h"), F.min("doc_id").alias("first_id"))
-    return held.select("source", "lang", "n", F.md5(F.array_join(F.transform("h", lambda x: x["t"]), "|").cast("binary")).alias("heads"), "first_id")
+    """AG-03, AG-25, PR-15: documents grouped with an ordered digest of their whole texts.
+
+    The order is that of the ids. Texts are digested where they are read, then per bucket of 1000 ids, then per group, so no row holds a group's texts and a hot group's lists are a thousandth of its rows."""
+    ordered = lambda key, value: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value]), "|").cast("binary"))
+    texts = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.floor(F.col("doc_id") / 1000).alias("bucket"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    buckets = texts.groupBy("source", "lang", "bucket").agg(F.count("*").alias("n"), ordered("doc_id", "digest").alias("part"), F.min("doc_id").alias("first_id"))
+    return buckets.groupBy("source", "lang").agg(F.sum("n").alias("n"), ordered("bucket", "part").alias("texts"), F.min("first_id").alias("first_id"))
 
 
-@query("SELECT doc_id, concat_ws(chr(10), concat('[', source, ']'), CASE WHEN lang <> 'en' THEN concat('lang: ', lang) END, left(trim(text), 200)) AS enriched FROM documents")
+@query("SELECT doc_id, length(e) AS n_chars, md5(e) AS enriched FROM (SELECT doc_id, concat_ws(chr(10), concat('[', source, ']'), CASE WHEN lang <> 'en' THEN concat('lang: ', lang) END, trim(text)) AS e FROM documents)")
 def pr02_enriched_text(spark, sf_dir):
-    """PR-01, PR-02, PR-11, SRC-10: header lines joined with the body (a preview of 200 characters, as in reports)."""
+    """PR-01, PR-02, PR-11, SRC-10: header lines joined with the whole body; the digest and length of the enriched text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return docs.select("doc_id", F.concat_ws("\n", F.concat(F.lit("["), "source", F.lit("]")), F.when(F.col("lang") != "en", F.concat(F.lit("lang: "), "lang")), F.substring(F.trim("text"), 1, 200)).alias("enriched"))
+    enriched = docs.select("doc_id", F.concat_ws("\n", F.concat(F.lit("["), "source", F.lit("]")), F.when(F.col("lang") != "en", F.concat(F.lit("lang: "), "lang")), F.trim("text")).alias("e"))
+    return enriched.select("doc_id", F.char_length("e").cast("long").alias("n_chars"), F.md5(F.col("e").cast("binary")).alias("enriched"))

@@ -119,7 +119,7 @@ def jn05_incoming_counts(spark, sf_dir):
 @query(f"""WITH {NODES}, {REFERENCES},
 lookup AS (SELECT oid, o_orderkey FROM ord),
 links AS (SELECT oid AS src, dst FROM refs JOIN lookup ON src = concat('O', o_orderkey)),
-targets AS (SELECT id FROM nodes WHERE label = 'Clause' AND number % 10 = 1),
+targets AS (SELECT id FROM nodes WHERE label = 'Clause'),
 c1 AS (SELECT t.id, n.id AS near FROM targets t JOIN nodes n ON n.parent_id = t.id),
 p1 AS (SELECT t.id, n.parent_id AS near FROM targets t JOIN nodes n ON n.id = t.id WHERE n.parent_id IS NOT NULL),
 every AS (SELECT id, id AS near, 0 AS priority FROM targets UNION ALL SELECT id, near, 1 FROM c1 UNION ALL SELECT c1.id, n.id, 1 FROM c1 JOIN nodes n ON n.parent_id = c1.near
@@ -128,11 +128,12 @@ best AS (SELECT id, near, min(priority) AS priority FROM every GROUP BY id, near
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, near) AS rank FROM best)
 SELECT * FROM ranked WHERE rank <= 30""")
 def jn08_neighbourhood(spark, sf_dir):
-    """JN-08: neighbourhoods of the clauses whose number ends in 1, at most 30 rows each (the operator's own cap)."""
+    """JN-08: neighbourhoods of all clauses, at most 30 rows each (the operator's own cap). A clause's children are points without children; its parents are articles, theirs chapters."""
     n = nodes(spark, sf_dir)
+    level = lambda label: n.where(F.col("label") == label).select("id", "parent_id")
     clauses = n.where("label = 'Clause'").select("id", F.concat(F.lit("O"), F.col("number").cast("string")).alias("key"))
     links = references(spark, sf_dir).join(clauses, F.col("src") == F.col("key")).select(F.col("id").alias("src"), "dst")
-    return graph.neighbourhood(n, links, n.where("label = 'Clause' and number % 10 = 1").select("id"))
+    return graph.neighbourhood([level("Point")], [level("Clause"), level("Article")], links, clauses.select("id"))
 
 
 @query("SELECT 'nation-region' AS kind, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'customer-nation', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'order-customer', count(*) FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'line-order', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON l_orderkey = o_orderkey")
@@ -152,7 +153,7 @@ def jn11_containment(spark, sf_dir):
     return out
 
 
-@query(f"""WITH {REFERENCES}, ids AS (SELECT concat('O', o_orderkey) AS id FROM orders WHERE o_orderkey <= 20),
+@query(f"""WITH {REFERENCES}, ids AS (SELECT concat('O', o_orderkey) AS id FROM orders),
 picked AS (SELECT * FROM refs WHERE src IN (SELECT id FROM ids) OR dst IN (SELECT id FROM ids) ORDER BY src, rel, dst LIMIT 100),
 lab AS (SELECT concat('O', o_orderkey) AS id, o_orderstatus AS label FROM orders UNION ALL SELECT concat('P', p_partkey), p_brand FROM part UNION ALL SELECT concat('S', s_suppkey), s_name FROM supplier)
 SELECT src, a.label AS src_label, rel, dst, b.label AS dst_label FROM picked LEFT JOIN lab a ON a.id = src LEFT JOIN lab b ON b.id = dst""")
@@ -161,7 +162,7 @@ def jn12_subgraph(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     labels = t("orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderstatus").alias("label"))
     labels = labels.union(t("part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")), "p_brand")).union(t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), "s_name"))
-    ids = t("orders").where("o_orderkey <= 20").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"))
+    ids = t("orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"))
     return graph.subgraph(labels, references(spark, sf_dir), ids)
 
 
@@ -381,11 +382,11 @@ def se07_number_gaps(spark, sf_dir):
     return gaps.select("l_orderkey", F.size("g").cast("long").alias("n_gaps"), F.array_join(F.transform("g", lambda x: x.cast("string")), ",").alias("gaps"))
 
 
-@query("""WITH hits AS (SELECT l_orderkey AS q, l_linenumber AS ord, concat('P', l_partkey) AS chunk FROM lineitem WHERE l_orderkey % 20 = 0), prov AS (SELECT concat('P', p_partkey) AS id, p_brand AS brand FROM part WHERE p_size % 2 = 0)
+@query("""WITH hits AS (SELECT l_orderkey AS q, l_linenumber AS ord, concat('P', l_partkey) AS chunk FROM lineitem), prov AS (SELECT concat('P', p_partkey) AS id, p_brand AS brand FROM part WHERE p_size % 2 = 0)
 SELECT q, ord, chunk, coalesce(brand, 'UNKNOWN') AS brand, 'chunk' AS origin FROM hits LEFT JOIN prov ON id = chunk UNION ALL SELECT NULL, NULL, id, brand, 'appended' FROM prov WHERE id NOT IN (SELECT chunk FROM hits)""")
 def jn16_evidence_join(spark, sf_dir):
     """JN-01, JN-16, JN-17: chunks with their provisions, UNKNOWN where none is known; unused provisions are appended."""
-    hits = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("chunk"))
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("chunk"))
     prov = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("brand"))
     used = hits.join(prov, F.col("chunk") == F.col("id"), "left").select("q", "ord", "chunk", F.coalesce("brand", F.lit("UNKNOWN")).alias("brand"), F.lit("chunk").alias("origin"))
     rest = prov.join(hits, F.col("chunk") == F.col("id"), "left_anti").select(F.lit(None).cast("long"), F.lit(None).cast("int"), "id", "brand", F.lit("appended"))
