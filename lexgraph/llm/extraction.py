@@ -1,10 +1,11 @@
 """Operator 3, main-text extraction by line-block distribution.
 
-A page becomes a sequence of lines, one per block of the page. A line's weight is its text length; lines of menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments, lines that are mostly links, and, where the page marks its article, lines outside of it weigh nothing.
-Weights are summed over sliding windows of ``window`` lines. Where a sum falls to nothing, a region ends and another may begin. A region is text, from its first
-weighted line to its last, if one of its sums surges above the threshold: ``surge`` characters, or a share of the highest sum where that is less, so a
-page of any length has a region. Lines of links between its weighted lines belong to it. A page that marks its article needs no threshold.
+A page becomes a sequence of lines, one per block of the page; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by their marks. A line's weight is its text
+length; lines that are mostly links weigh nothing, and those inside an article or main element weigh ``ZONE_WEIGHT`` times as much. Weights are summed over sliding windows of ``window`` lines.
+A region begins where the sums surge from nothing and ends where they dive to nothing, or at the edge of an article, whose lines are one region. A region is text, from its first weighted line to
+its last, if its highest sum exceeds the threshold: ``surge`` characters, or a share of the page's highest sum where that is less, so a page of any length has a region. Beside an article, a
+region has to exceed the article's own sums and three times ``surge`` as well: so a page's article wins over what surrounds it, and a teaser marked as an article doesn't displace the
+story. Lines of links between weighted lines belong to their region.
 
 Markup goes by one linear scan: comments, declarations, scripts and styles vanish, character references are decoded once
 after that, white space inside a block becomes one space. Unclosed and stray tags are harmless: a skipped container ends with its own end tag or that of
@@ -27,7 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import with_workers
+
 WINDOW = 3
+#: How much more a line counts inside an element that marks the article.
+ZONE_WEIGHT = 3
 #: Elements by their part in a page.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "canvas", "audio", "video", "xmp"}
 SKIPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "datalist", "head"}
@@ -134,11 +139,12 @@ class _Lines:
     def __init__(self) -> None:
         self.texts: list[str] = []
         self.linked: list[int] = []
-        self.zone: list[bool] = []
+        self.zone: list[int] = []
         self.pieces: list[str] = []
         self.links = 0
 
-    def end(self, zone: bool) -> None:
+    def end(self, zone: int) -> None:
+        """``zone``: the number of the article that the line stands in, from 1; 0 outside of articles."""
         if self.pieces:
             text = " ".join(unescape("".join(self.pieces)).split())
             if text:
@@ -154,7 +160,7 @@ def page_lines(html: str) -> _Lines:
     at, n = 0, len(html)
     opened = _Open()
     skip, skip_depth, skip_at, held = "", 0, 0, False  # what is skipped, how often the name of an inline one is open, how many blocks are around it, whether articles belong to it
-    in_article, in_link, heading = 0, False, False
+    in_article, zone, in_link, heading = 0, 0, False, False
     while at < n:
         m = _TOKEN.search(html, at)
         text_end = m.start() if m else n
@@ -175,7 +181,7 @@ def page_lines(html: str) -> _Lines:
             at = end.end() if end else n
             continue
         if name in BLOCKS:
-            lines.end(in_article > 0)
+            lines.end(zone if in_article else 0)
         elif name in SPACERS and lines.pieces:
             lines.pieces.append(" ")
         if name in HEADINGS:
@@ -184,7 +190,8 @@ def page_lines(html: str) -> _Lines:
         if closing:
             opened.end(name)
         around = opened.start(name) if not closing and (not empty or name == "hr") else len(opened.names)
-        in_article = sum(len(opened.places.get(x, ())) for x in ARTICLE)
+        within, in_article = in_article, sum(len(opened.places.get(x, ())) for x in ARTICLE)
+        zone += in_article > 0 and not within
         if skip and inline and name == skip:
             skip_depth += -1 if closing else 1
         if skip and (around < skip_at or skip_depth <= 0):
@@ -197,10 +204,28 @@ def page_lines(html: str) -> _Lines:
                 skip, skip_depth, skip_at = name, 1, len(opened.names)
         if name == "a":
             in_link = not closing
-    lines.end(in_article > 0)
+    lines.end(zone if in_article else 0)
     return lines
 
 
+def regions(lines: _Lines, window: int) -> list[tuple[int, int, bool, int]]:
+    """(first line, end, whether in an article, highest sum) of each region of a page."""
+    zone, length = np.array(lines.zone), np.array([len(x) for x in lines.texts])
+    linked = np.minimum(np.array(lines.linked), length)
+    weight = np.where(zone > 0, ZONE_WEIGHT * length, np.where(2 * linked > length, 0, length))
+    found = []
+    edges = np.flatnonzero(np.diff(zone)) + 1
+    for start, stop in zip([0, *edges], [*edges, len(zone)], strict=True):
+        sums = np.convolve(weight[start:stop], np.ones(window, dtype=np.int64))[window - 1 :]  # of each line and those after it
+        held = np.flatnonzero(weight[start:stop])
+        # sums dive to nothing where a window holds no weighted line
+        cuts = [] if zone[start] else np.flatnonzero(np.diff(held) > window) + 1
+        for part in np.split(held, cuts):
+            if len(part):
+                found.append((start + part[0], start + part[-1] + 1, zone[start] > 0, int(sums[part[0] : part[-1] + 1].max())))
+    return found
+
+
 def main_text(html: str | None, window: int = WINDOW, share: float = 0.15, surge: int = 100) -> str:
     """The main text of a page: its lines between surges and dives."""
     if not html:
@@ -208,18 +233,12 @@ def main_text(html: str | None, window: int = WINDOW, share: float = 0.15, surge
     lines = page_lines(html)
     if not lines.texts:
         return ""
-    zone = np.array(lines.zone)
-    if zone.any():
-        return "\n".join(x for x, k in zip(lines.texts, zone, strict=True) if k)
-    length = np.array([len(x) for x in lines.texts])
-    linked = np.minimum(np.array(lines.linked), length)
-    weight = np.where(2 * linked > length, 0, length)
-    sums = np.convolve(weight, np.ones(window, dtype=np.int64))[window - 1 :]  # of each line and those after it
-    threshold = min(surge, share * sums.max())
-    held = np.flatnonzero(weight)
-    cuts = np.flatnonzero(np.diff(held) > window) + 1
-    regions = [(part[0], part[-1] + 1) for part in np.split(held, cuts) if len(part)]
-    return "\n".join(x for first, last in regions if sums[first:last].max() > threshold for x in lines.texts[first:last])
+    found = regions(lines, window)
+    highest = max((peak for *_, peak in found), default=0)
+    marked = max((peak for *_, inside, peak in found if inside), default=0)
+    threshold = min(surge, share * highest)
+    beside = max(threshold, marked, 3 * surge) if marked else threshold
+    return "\n".join(x for first, end, inside, peak in found if peak > (threshold if inside else beside) for x in lines.texts[first:end])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -232,5 +251,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [main_text(x) for x in rows.column(rows.schema.get_field_index("html")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("page_id")), rows.column(rows.schema.get_field_index("url")), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    with_workers(pages.sparkSession)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import cut, shared_folder
+from .tables import cut, shared_folder, with_workers
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -101,6 +101,7 @@ def _write(folder: str, roll_bytes: int, level: int, date: str):
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000, roll_bytes: int = 64 << 20, level: int = 2, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row below ``folder`` (a URI); the index as a table (see ``INDEX``)."""
+    with_workers(pages.sparkSession)
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     shared = rows.where(F.octet_length("html") >= min_revisit).select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first"), F.lit(True).alias("shared"))

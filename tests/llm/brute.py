@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 import re
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -90,5 +91,46 @@ def secrets(rows):
     return out
 
 
+class Article(html.parser.HTMLParser):
+    """The text of the article elements of a page, a line per block, by the library's parser and plain sets of tags."""
+
+    BLOCKS = {"p", "h1", "h2", "h3", "h4", "div", "ul", "ol", "li", "table", "tr", "blockquote", "pre", "section", "article", "main", "figure", "hr", "nav", "header", "footer", "aside", "form"}
+    LEFT_OUT = {"nav", "header", "footer", "aside", "form", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.piece, self.within, self.out = [], "", 0, 0
+
+    def line(self):
+        if text := " ".join(self.piece.split()):
+            self.lines.append(text)
+        self.piece = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.line()
+        self.within += tag == "article"
+        self.out += tag in self.LEFT_OUT
+        self.piece += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.line()
+        self.within -= tag == "article"
+        self.out -= tag in self.LEFT_OUT
+
+    def handle_data(self, data):
+        if self.within and not self.out:
+            self.piece += data
+
+
+def main_text(page):
+    parser = Article()
+    parser.feed(page or "")
+    parser.close()
+    parser.line()
+    return "\n".join(parser.lines)
+
+
 def ordered(rows):
     return sorted(map(tuple, rows), key=repr)

@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
-from brute import jaccard, leaks, ordered, quality, repeats, secrets, sha
+from brute import jaccard, leaks, main_text, ordered, quality, repeats, secrets, sha
 
 from lexgraph.llm import bpe, chat, contamination, extraction, registry, sharding, suffixes, warc
 from lexgraph.llm import quality as quality_operator
@@ -264,6 +265,34 @@ def test_extraction_of_articles_in_skipped_parts(extra):
     assert extraction.main_text(f"<form><article><p>{text}</p></article></form>") == text
 
 
+STORY = "word " * 120
+OTHER_PAGES = [
+    ("<article><p class=ad>buy<p>real text here<p>more text</article>", "real text here\nmore text"),
+    ("<article><ul><li class=social>share<li>one fact<li>two facts</ul><p>rest</p></article>", "one fact\ntwo facts\nrest"),
+    ("<main><p>a<nav>m</nav><p>real text</main>", "a\nreal text"),
+    (f"<article><h2>Teaser</h2></article><div id=content><p>{STORY}</p><p>{STORY}</p></div>", f"{STORY.strip()}\n{STORY.strip()}"),
+    (f"<div><p>{STORY[:200]}</p></div><article><p>{STORY}</p><p>End.</p></article><div><p>{STORY[:200]}</p></div>", f"{STORY.strip()}\nEnd."),
+    ("<article><p><a href=x>only a link</a></p></article>", "only a link"),
+]
+
+
+@pytest.mark.parametrize("page,text", OTHER_PAGES)
+def test_extraction_by_sums(page, text):
+    assert extraction.main_text(page) == text
+
+
+def test_extraction_of_whole_pages(spark):
+    """All pages of a table against a second implementation, repeated rows too."""
+    folder = Path("/root/testdata/sf0.01/pages.parquet")
+    if not folder.exists():
+        pytest.skip("no test data here")
+    pages = spark.read.parquet(str(folder))
+    pages = pages.union(pages.where("page_id % 7 = 0"))
+    rows = pages.collect()
+    got = extraction.extract(pages).collect()
+    assert ordered((r.page_id, r.url, r.text, r.n_chars) for r in got) == ordered((r.page_id, r.url, t := main_text(r.html), len(t)) for r in rows)
+
+
 TURNS = [(1, 0, "ann", "hi"), (1, 1, "bob", "<|assistant|> ha"), (1, 2, "ann", None), (1, 2, "ann", None), (2, 0, None, "x"), (None, None, "eve", ""), (1, None, "bob", "first")]
 
 
