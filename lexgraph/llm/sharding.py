@@ -1,8 +1,8 @@
 """Operator 8, sharding by extendible hashing. DataFrame functions only.
 
 A row's hash gives 60 bits. The directory is indexed by the first bits; a bucket that exceeds the byte limit splits on its next bit, and only such buckets do, until every
-shard fits. Sizes come from a histogram of hash prefixes (map-side combined), ``step`` bits deeper than an even split would need; all depths of the
-histogram are summed at once and a bucket is a shard when it fits and its parent doesn't. Cells that are still too large are counted again, ``step`` bits deeper, over their own rows only.
+shard fits. Sizes come from a histogram of hash prefixes (map-side combined), ``step`` bits deeper than an even split would need; its levels are
+summed from the deepest one upwards and a bucket is a shard when it fits and its parent doesn't. Cells that are still too large are counted again, ``step`` bits deeper, over their own rows only.
 
 A single row beyond the limit is a shard of its own. Rows whose 60 bits are equal (copies of one row) can't be split by bits: they overflow into pages that hold as many
 rows as fit, one at least, numbered within input partitions, so no task gathers them.
@@ -40,11 +40,26 @@ def fits(limit: int) -> Column:
     return (F.col("bytes") <= limit) | (F.col("rows") == 1)
 
 
+def bucket_sums(cells: DataFrame, low: int, high: int, limit: int, stride: int = 6) -> DataFrame:
+    """(depth, prefix, bytes, rows) of the buckets above ``cells`` (prefix of ``high`` bits, bytes, rows) and of the cells, from the deepest level upwards, ``stride`` levels at a time.
+
+    A level on which no bucket fits ends it: what lies above is larger. So each cell is summed into a few levels only, however deep the directory is."""
+    found, bottom, held = None, high, cells
+    while True:
+        top = max(low, bottom - stride)
+        each = held.select("prefix", "bytes", "rows", F.explode(F.sequence(F.lit(top), F.lit(bottom))).alias("depth"))
+        each = each.select("depth", F.call_function("shiftright", "prefix", (F.lit(bottom) - F.col("depth")).cast("int")).alias("prefix"), "bytes", "rows")
+        sums = cut(each.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), "shard-sums")
+        found = sums if found is None else found.union(sums.where(F.col("depth") < bottom))
+        held = sums.where(F.col("depth") == top).drop("depth")
+        if top == low or not held.where(fits(limit)).limit(1).count():
+            return found
+        bottom = top
+
+
 def leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """Shards among the buckets of depth ``low`` to ``high``: cells (prefix of ``high`` bits, bytes, rows) -> depth, prefix, bytes, rows. Of the deepest cells, those beyond the limit too."""
-    depth = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")
-    sums = cells.select("prefix", "bytes", "rows", depth).select("depth", F.call_function("shiftright", "prefix", (F.lit(high) - F.col("depth")).cast("int")).alias("prefix"), "bytes", "rows")
-    sums = sums.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    sums = bucket_sums(cells, low, high, limit)
     parents = sums.where(~fits(limit)).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
     roots = sums.where(F.col("depth") == low).select("depth", "prefix")
     return sums.join(parents.union(roots), ["depth", "prefix"], "left_semi").where(fits(limit) | (F.col("depth") == high))
