@@ -94,9 +94,12 @@ OP7_SQL = f"""
 WITH doc AS (
   SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS l FROM documents),
-win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 7], ' ')) AS c FROM doc, unnest(generate_series(1, len(w) - 7)) AS g(i)),
+spots AS (SELECT doc_id, unnest(generate_series(1, len(w) - 7)) AS i, unnest(list_transform(generate_series(1, len(w) - 7), lambda i: array_to_string(w[i : i + 7], ' '))) AS g FROM doc WHERE len(w) > 7),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM spots),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM win WHERE c > 1) GROUP BY doc_id),
-line AS (SELECT doc_id, host, k, len(regexp_extract_all(l[i], {_WORDS})) AS n, array_to_string(regexp_extract_all(translate(l[i], '{contamination.UPPER}', '{contamination.LOWER}'), {_WORDS}), ' ') AS norm FROM doc, unnest(generate_series(1, len(l))) AS g(i)),
+line AS (
+  SELECT doc_id, host, k, unnest(list_transform(l, lambda x: len(regexp_extract_all(x, {_WORDS})))) AS n,
+    unnest(list_transform(l, lambda x: array_to_string(regexp_extract_all(translate(x, '{contamination.UPPER}', '{contamination.LOWER}'), {_WORDS}), ' '))) AS norm FROM doc),
 hosts AS (SELECT host, count(DISTINCT k) AS docs FROM doc GROUP BY host),
 frequent AS (SELECT host, norm FROM line JOIN hosts USING (host) GROUP BY host, norm, hosts.docs HAVING count(DISTINCT k) >= 30 AND count(DISTINCT k) >= 0.1 * hosts.docs),
 gone AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN frequent ON frequent.host = line.host AND frequent.norm = line.norm GROUP BY doc_id),
