@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
-from .tables import cut, with_workers
+from .tables import cut, row_key, with_workers
 
 SHINGLE = 5
 U64 = tb.U64
@@ -130,19 +130,19 @@ def _digests(owner: np.ndarray, value: np.ndarray, n_docs: int, seed: int) -> np
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1: doc_id, size and address of each set; the task's part of the sketch as rows with a slice number."""
+    """Pass 1: doc_id, row_key, size and address of each set; the task's part of the sketch as rows with a slice number."""
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    names = ["doc_id", "n", "sid", "second", "slice", "counts"]
+    names = ["doc_id", "row_key", "n", "sid", "second", "slice", "counts"]
     for batch in batches:
         for rows, data, offsets in tb.slices(batch, "text"):
-            ids = rows.column(rows.schema.get_field_index("doc_id"))
+            ids, keys = (rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "row_key"))
             n = len(ids)
             owner, value = sets(data, offsets)
             counts += np.bincount((value >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_sizes(owner, n)[0]), *(pa.array(x.view(np.int64)) for x in (set_ids(owner, value, n), _digests(owner, value, n, SECOND))), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(_sizes(owner, n)[0]), *(pa.array(x.view(np.int64)) for x in (set_ids(owner, value, n), _digests(owner, value, n, SECOND))), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     small = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32).reshape(SKETCH_SLICES, -1)
     none = pa.nulls(SKETCH_SLICES, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(SKETCH_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([none, pa.nulls(SKETCH_SLICES, pa.binary()), none, none, none, pa.array(np.arange(SKETCH_SLICES, dtype=np.int32)), pa.array([x.tobytes() for x in small], pa.binary())], names=names)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,15 +395,15 @@ def _compared(percent: int):
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id. ``percent`` is fixed by the bands at 75 or more."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, row_key (of id and text) and root, which names the component (null for an empty set). ``percent`` is fixed by the bands at 75 or more."""
     if not 75 <= percent <= 100:
         raise ValueError("the size bands hold for 75 to 100 percent")
     spark = with_workers(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), row_key(docs[id_col], docs[text_col]).alias("row_key"), docs[text_col].alias("text"))
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    pass1 = cut(rows.mapInArrow(_facts, "doc_id long, n long, sid long, second long, slice int, counts binary"), "setjoin-facts")
-    facts = pass1.where("slice is null").select("doc_id", "n", "sid", "second")
+    pass1 = cut(rows.mapInArrow(_facts, "doc_id long, row_key binary, n long, sid long, second long, slice int, counts binary"), "setjoin-facts")
+    facts = pass1.where("slice is null").select("doc_id", "row_key", "n", "sid", "second")
 
     def sets_of(facts: DataFrame) -> DataFrame:
         return cut(facts.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("second").alias("low"), F.max("second").alias("high")), "setjoin-known")
@@ -465,7 +465,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = compared(lefts.unionByName(rights).select(F.xxhash64("hub", "block", "chunk").alias("job"), "side", "key"), "setjoin-more")
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "setjoin-roots2")
 
-    placed = facts.join(roots, facts["sid"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    placed = facts.join(roots, facts["sid"] == roots["node"], "left").select("doc_id", "row_key", "n", F.coalesce("root", "sid").alias("root"))
     names = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.where("n > 0").join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = placed.where("n > 0").join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key", "root")
+    return out.union(placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("long")))
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """row_key of one row per component of :func:`jaccard_groups`: the smallest id's (null ids last; of several texts of that id in the component the one with the smallest key), and of every row with an empty set."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key"))
+    return groups.where("root is not null").groupBy("root").agg(first.alias("first")).select("first.row_key").union(groups.where("root is null").select("row_key")).distinct()

@@ -65,6 +65,25 @@ def test_stages(spark, folder):
         assert final[r[0]].n_tokens == len(ids) and final[r[0]].ids_sha256 == sha(np.array(ids, dtype="<u4").tobytes()) and final[r[0]].decoded_sha256 == sha(r[1])
 
 
+SAID = " ".join(f"w{k}" for k in range(60))
+OTHER = " ".join(f"v{k}" for k in range(60))
+
+
+def test_near_duplicates_of_repeated_ids(spark, tmp_path):
+    """A second text of an id goes when it is another document's copy; groups without ids each keep one row."""
+    rows = [(3, SAID), (7, OTHER), (7, SAID), (8, OTHER + " more"), (None, SAID + " x y"), (None, "lone words " + SAID[:40]), (None, "lone words " + SAID[:40]), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates_stage(spark, docs, str(tmp_path)).collect()
+    assert ordered((r.doc_id, r.text) for r in got) == ordered([(3, SAID), (7, OTHER), (None, "lone words " + SAID[:40]), (9, ""), (9, None)])
+
+
+def test_quality_stage_removes_lines(spark, tmp_path):
+    rows = [(i, f"The Same  notice\n{' '.join(f'w{i}x{k}' for k in range(40))}\n\nend{i}", "en", "h", 7) for i in range(40)] + [(90, "\n" + OTHER + "\n", "en", "h", 9)]
+    got = {r.doc_id: r for r in corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path)).collect()}
+    assert len(got) == 41 and got[90].text == rows[-1][1] and got[90].n_chars == 9
+    assert all(got[i].text == rows[i][1].split("\n", 1)[1] and got[i].n_chars == len(got[i].text) for i in range(40))
+
+
 def test_stages_of_nothing(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
