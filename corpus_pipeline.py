@@ -27,11 +27,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one that names its component. Of repeated rows of that id one stays; ids must not be null to be named."""
+    """One document of each group stays, the one with the smallest id. Rows are found by id and text, so another text of that id isn't kept for it; of repeated rows one stays."""
     docs = _of(docs)
-    groups = cut(setjoin.jaccard_groups(docs).select("doc_id", "component_id").distinct(), "pipeline-groups")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = setjoin.representatives(cut(setjoin.jaccard_groups(docs), "pipeline-groups")).select(F.col("row_key").alias("stay_key"))
+    return docs.join(stay, row_key(docs["doc_id"], docs["text"]) == F.col("stay_key"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
