@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, scalars, search, star
+from . import amendments, corpus, scalars, search, star
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [star, search, scalars, corpus]
+MODULES = [star, search, scalars, corpus, amendments]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
