@@ -75,10 +75,13 @@ def property_differences(expected: DataFrame, actual: DataFrame, key: str, colum
 
 def merged_properties(rows: DataFrame, key: str) -> DataFrame:
     """AG-27, MP-02: maps folded by ord, later values win and nulls are left out; ``SemanticUnit`` never replaces a specific label. rows: key, ord, label, props map<string,string>."""
-    held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", F.map_entries(F.map_filter("props", lambda k, v: v.isNotNull())).alias("e")))).alias("x"), F.max_by("label", F.struct(F.col("label") != "SemanticUnit", -F.col("ord"))).alias("label"))
-    entries = F.flatten(F.transform("x", lambda y: y["e"]))
-    latest = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return held.select(key, "label", F.map_from_entries(F.array_sort(latest)).alias("props"))
+    labels = rows.groupBy(key).agg(F.max_by("label", F.struct(F.col("label") != "SemanticUnit", -F.col("ord"))).alias("label"))
+    # the last value of each property by itself, so a hot key's maps are combined before the shuffle and never held together
+    each = rows.select(F.col(key).alias("__key"), "ord", F.explode("props").alias("name", "value")).where("value is not null")
+    latest = each.groupBy("__key", "name").agg(F.max(F.struct("ord", "value"))["value"].alias("value"))
+    held = latest.groupBy("__key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("props"))
+    joined = labels.join(held, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.select(key, "label", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
 
 
 def between_documents(edges: DataFrame, a: str, b: str | None = None) -> DataFrame:

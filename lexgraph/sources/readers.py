@@ -68,21 +68,25 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_docx_headers(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-02, ST-39: (path, authority, header_date) from the first tables."""
+    """SRC-02, ST-39: (path, authority, header_date, error) from the first tables; a file that can't be read is one row with ``error``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                cells = docx_header(content)
-                first = [c.splitlines()[0].strip() for c in cells]
+                try:
+                    cells = docx_header(content)
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    rows.append((name, None, None, repr(e)))
+                    continue
+                first = [c.splitlines()[0].strip() for c in cells if c.strip()]
                 authority = next((x for x in first if x in ("QUỐC HỘI", "CHÍNH PHỦ") or x.startswith(("BỘ ", "THỦ TƯỚNG CHÍNH PHỦ"))), None)
                 dated = next((c for c in cells if re.search(T.DATE.removeprefix("(?iu)"), c, re.I)), None)
-                rows.append((name, authority, dated))
-            yield pd.DataFrame(rows, columns=["path", "authority", "dated"])
+                rows.append((name, authority, dated, None))
+            yield pd.DataFrame(rows, columns=["path", "authority", "dated", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, authority string, dated string").select("path", "authority", T.date_in(F.col("dated")).alias("header_date"))
+    return files.select("path", "content").mapInPandas(run, "path string, authority string, dated string, error string").select("path", "authority", T.date_in(F.col("dated")).alias("header_date"), "error")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, glob: str = "*_structure.json", doc_filter: str | None = None) -> DataFrame:
