@@ -17,10 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a local one where none is named (tests)."""
+    """The shared folder the cluster names; a local one where none is named and the executors are this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{FALLBACK_DIR}/{os.getpid()}"
 
 
