@@ -5,7 +5,7 @@ A document's set holds its distinct 5-word shingles. Two sets r, s link when 100
 
 PartEnum: for each band i there is an instance for the sets of bands i and i + 1. It partitions the feature domain (shingle hashes) into n1
 groups of three parts each and enumerates the subsets of two parts of every group; a set's signature for a subset is the set's projection on it. r ^ s touches at most d parts. A group with no touched part
-has three signatures in common, one with a single touched part has one, others none, so at least 3 n1 - lost(d) are in common, where lost(d) = 2 d for d <= n1, d + n1 up to 2 n1; n1 > d / 2 + 1 keeps it positive.
+has three signatures in common, one with a single touched part has one, others none, so at least 3 n1 - lost(d) are in common, where lost(d) = 2 d (d <= n1); n1 exceeds d by two at least, so ``REQUIRED`` are.
 Not all 3 n1 signatures of a set need to be written: under one fixed total order of all signatures, the first lost(d) + 1 of each
 set must meet (t common ones of n lie in the first n - t + 1). The order puts rare signatures first, measured by a counting sketch of all shingles of all documents,
 and empty projections last. So boilerplate that a third of all documents share doesn't make signatures, unless a text holds little else.
@@ -72,15 +72,15 @@ BANDS = band_starts()
 
 
 def groups_of(band: np.ndarray) -> np.ndarray:
-    """n1: the number of groups of three parts of a band's instance, by the largest difference of its sets; two more than needed, so that linked sets share ``REQUIRED`` signatures."""
+    """n1: the number of groups of three parts of a band's instance: more than the largest difference of its sets, so that a third of the signatures, the most frequent ones, needn't be written."""
     top = BANDS[band + 2] - 1
     most = np.minimum(BANDS[band + 1] - 1 + top, 2 * top) // 7
-    return most // 2 + 3
+    return most + 2
 
 
-def lost(d: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The most signatures of 3 n1 that ``d`` touched parts can change."""
-    return np.where(d <= n1, 2 * d, np.minimum(d + n1, 3 * n1))
+def lost(d: np.ndarray) -> np.ndarray:
+    """The most signatures that ``d`` touched parts can change: each stands in two subsets of its group."""
+    return 2 * d
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, n_docs: int, sketch: np.nda
         code, so, sig, rare = code[some], so[some], sig[some], rare[some]
         # lost(d) + REQUIRED signatures; a set with fewer filled projections emits what it has, lost(d) + 1 at least, and is marked:
         # any signature in common makes it a candidate. Empty projections come after all others, in the order of their numbers
-        filled, gone = np.bincount(so, minlength=n_docs), lost(d, n1)
+        filled, gone = np.bincount(so, minlength=n_docs), lost(d)
         wanted = gone + np.clip(filled - gone, 1, REQUIRED)
         short = np.flatnonzero(use & (filled < gone + 1))
         if len(short):
