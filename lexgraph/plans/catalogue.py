@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import amendments, corpus, entity_import, scalars, search, star
+from . import amendments, corpus, entity_import, scalars, search, sentences, star
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [star, search, scalars, corpus, amendments, entity_import]
+MODULES = [star, search, scalars, corpus, amendments, entity_import, sentences]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
