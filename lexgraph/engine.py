@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +72,22 @@ class Engine:
         """JN-29, SRC-17."""
         articles = self.nodes.where("label = 'Article'").select(F.substring_index("id", "_D", 1).alias("id")).groupBy("id").agg(F.count("*").alias("n_articles"))
         return self.nodes.where("label = 'Document'").join(articles, "id", "left").na.fill(0, ["n_articles"]).orderBy("id").offset(skip).limit(limit)
+
+
+def sync(stages: Sequence[tuple[str, Callable[[], object]]], required: int = 3, dry_run: bool = False) -> list[tuple[str, str, str]]:
+    """CON-07, CD-06, CD-17: named stages in order, each a step that writes its tables: (stage, status, message) of each.
+
+    A failure among the first ``required`` stages skips the rest; a later one is a warning. ``dry_run`` only lists them."""
+    report: list[tuple[str, str, str]] = []
+    failed = False
+    for k, (name, run) in enumerate(stages):
+        if dry_run or failed:
+            report.append((name, "skipped" if failed else "planned", ""))
+            continue
+        try:
+            run()
+            report.append((name, "done", ""))
+        except Exception as e:  # noqa: BLE001  a stage may fail in any way; its report says how
+            failed = k < required
+            report.append((name, "failed" if failed else "warning", f"{type(e).__name__}: {e}"))
+    return report

@@ -167,3 +167,24 @@ def lexical_density(asked: Column, low: Column) -> Column:
     score = F.size(matched) / F.size(tokens) * 10 + F.least(tf, F.lit(20.0)) * 0.1 + bonus
     nothing = (F.coalesce(low, F.lit("")) == "") | (F.size(tokens) == 0) | (F.size(matched) == 0) & (bonus <= 0)
     return F.when(nothing, F.lit(0.0)).otherwise(F.round(F.greatest(score, F.lit(0.0)), 4))
+
+
+def hashed_vectors(texts: DataFrame, dims: int = 256) -> DataFrame:
+    """CON-03, UD-05: (id, counts, embedding) of texts (id, text) without a model: words counted in ``dims`` slots of their hash, scaled to length 1; blank texts are zero vectors.
+
+    Words are counted by (id, slot) with map-side combining; a row is built from at most ``dims`` counts, whatever the length of its text."""
+    slot = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int")
+    counts = texts.select("id", F.explode(terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy(F.col("id").alias("__id"), slot(F.col("t")).alias("slot")).agg(F.count("*").alias("n"))
+    held = counts.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
+    joined = texts.select("id").join(held, F.col("id").eqNullSafe(F.col("__id")), "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>")))
+    shown = joined.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("counts"))
+    norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x * x))
+    shown = shown.withColumn("norm", norm)
+    return shown.select("id", "counts", F.transform("counts", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("embedding"))
+
+
+def index_stats(units: DataFrame, indexed: DataFrame) -> DataFrame:
+    """AG-06: documents, units, indexed and failed ones. units: id, document_id; indexed: id."""
+    done = indexed.select(F.col("id").alias("__id")).distinct()
+    joined = units.join(done, F.col("id") == F.col("__id"), "left")
+    return joined.agg(F.count_distinct("document_id").alias("n_documents"), F.count("*").alias("n_units"), F.count("__id").alias("n_indexed"), (F.count("*") - F.count("__id")).alias("n_failed"))

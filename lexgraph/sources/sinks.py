@@ -44,3 +44,13 @@ def save_report(df: DataFrame, path: str) -> None:
     """SNK-15, SNK-16, SNK-17: a report as CSV with a header; nested columns as JSON. Reports are one row per benchmark item or category."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def rendered(df: DataFrame, fmt: str = "json", rows: int = 20) -> str:
+    """SNK-18: the first ``rows`` rows (a display's own limit) as JSON lines or as a table of text."""
+    shown = df.limit(rows)
+    if fmt == "json":
+        return "\n".join(r[0] for r in shown.select(F.to_json(F.struct("*"))).collect())
+    cells = [df.columns, *[["" if v is None else str(v) for v in r] for r in shown.collect()]]
+    widths = [max(len(row[k]) for row in cells) for k in range(len(df.columns))]
+    return "\n".join(" | ".join(cell.ljust(width) for cell, width in zip(row, widths, strict=True)).rstrip() for row in cells)
