@@ -62,3 +62,8 @@ def merge_broken(rows: DataFrame) -> DataFrame:
 def fill_forward(rows: DataFrame, key: str, order: list[str], column: str) -> Column:
     """WN-13: a missing value is taken from the next row that has one."""
     return F.first(column, ignorenulls=True).over(W.partitionBy(key).orderBy(*order).rowsBetween(0, W.unboundedFollowing))
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """CD-42: paragraphs (id, ord, text, bold) in the fixed order: text, page numbers, boilerplate, empty ones, broken lines."""
+    return merge_broken(without_noise(rows.withColumn("text", T.normalise(F.col("text")))))

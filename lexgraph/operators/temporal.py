@@ -110,3 +110,36 @@ def fold_text(actions: DataFrame, key: str, order: Sequence[str], start: str = "
         return F.struct(changed.alias("text"), (s["applied"] + counts).alias("applied"))
 
     return held.select(key, F.aggregate("acts", state, step).alias("s")).select(key, F.col("s.text").alias("text"), F.col("s.applied").cast("long").alias("n_applied"))
+
+
+#: Levels by the label of a node.
+LEVELS = {"Article": "ARTICLE", "Clause": "CLAUSE", "Point": "POINT", "Appendix": "APPENDIX"}
+
+
+def level_of(label: Column) -> Column:
+    """CD-35: the level of a node's label; null for labels without one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair]), label)
+
+
+def current_version(versions: DataFrame, key: str, number: str) -> DataFrame:
+    """CD-35: the last version of each provision, by its number, as a struct ``version``."""
+    return versions.groupBy(key).agg(F.max_by(F.struct(*versions.columns), number).alias("version"))
+
+
+def rules_of(rules: DataFrame, targets: DataFrame) -> DataFrame:
+    """CD-35: rules (rule_id, target_id) that name one of the targets (id)."""
+    return rules.join(targets.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+
+
+def provision_details(provisions: DataFrame, versions: DataFrame, references: DataFrame, amendments: DataFrame) -> DataFrame:
+    """PR-16, SO-08: provisions (id, ...) with their current version, references and amendments as arrays, ordered by id.
+
+    versions: id, version_id, ...; references: id, target_id, ...; amendments: id, operation, .... Lists are one provision's own."""
+    listed = lambda df, name: df.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "id"]))).alias(name))
+    out = provisions.join(current_version(versions, "id", "version_id").withColumnRenamed("version", "current_version"), "id", "left")
+    return out.join(listed(references, "cross_references"), "id", "left").join(listed(amendments, "amendments"), "id", "left").orderBy("id")
+
+
+def evaluated_at() -> Column:
+    """DT-06: the time of evaluation in UTC, as ISO text; kept out of what is compared."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
