@@ -84,7 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     number = KINDS.index
     part = facts
     ask = part.where(F.col("kind") >= number("weak")).withColumn("bin", F.floor(F.col("start") / scope))
-    other = part.select("row_id", F.col("start").alias("start2"), F.col("kind").alias("kind2"), F.col("stop").alias("stop2"), F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("stop") - 1) / scope) + 1)).alias("bin"))
+    other = part.select("row_id", F.col("start").alias("start2"), F.col("kind").alias("kind2"), F.col("stop").alias("stop2"), F.explode(F.sequence(F.floor((F.col("start") - 1) / scope) - 1, F.floor(F.col("stop") / scope) + 1)).alias("bin"))
     # the bins of a span reach one bin beyond both of its ends; a part that starts farther on looks back over its own length
     ask = ask.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))))
     near = (F.col("start2") <= F.col("stop") + scope) & (F.col("start") <= F.col("stop2") + scope)

@@ -91,6 +91,26 @@ def secrets(rows):
     return out
 
 
+KINDS = ["assign", "access", "hex", "weak", "ident", "endpoint"]
+
+
+def linked_spans(text, patterns, scope=200):
+    """All spans of a text: base ones, and weak candidates with a complement within ``scope``, every pair looked at. ``patterns``: the operator's seven patterns by their number."""
+    assign, access, hexes, named, bare, ident, endpoint = ([m for m in re.finditer(p, text)] for p in patterns)
+    others = [m.span() for m in (*assign, *named, *ident, *endpoint)]
+    spans = [(m.start(), 0, m.end()) for m in assign if len(m[2]) >= 12] + [(m.start(), 1, m.end()) for m in access if len(m[0]) >= 18] + [(m.start(), 2, m.end()) for m in hexes]
+    parts = [(m.start(), 3, m.end()) for m in assign if 6 <= len(m[2]) <= 11] + [(m.start(), 3, m.end()) for m in named]
+    parts += [(m.start(), 3, m.end()) for m in bare if not any(a <= m.start() and m.end() <= b for a, b in others)]
+    parts += [(m.start(), 4, m.end()) for m in ident] + [(m.start(), 4, m.end()) for m in access if 10 <= len(m[0]) <= 17] + [(m.start(), 5, m.end()) for m in endpoint]
+
+    def links(x, y):
+        near = y[0] <= x[2] + scope and x[0] <= y[2] + scope and (y[1] != 2 or y[0] >= x[2] or y[2] <= x[0])
+        return near and (x[1] in (0, 3) and y[1] in (1, 4, 5) or x[1] in (1, 4, 5) and y[1] in (0, 2, 3))
+
+    found = spans + sorted({x for x in parts if any(links(x, y) for y in spans + parts)})
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
 class Article(html.parser.HTMLParser):
     """The text of the article elements of a page, a line per block, by the library's parser and plain sets of tags."""
 
