@@ -284,7 +284,13 @@ def _groups(small: int):
                 buckets.setdefault(b, []).append(blob)
         for b in sorted(buckets):
             parts = [_unpacked(x) for x in buckets.pop(b)]
-            yield from _grouped(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), small)
+            key, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            del parts
+            share = (sig >> U64(SIG_BITS - 2)) & U64(3)  # a signature lies in one quarter; sorting takes memory by quarters
+            for quarter in range(4):
+                pick = share == U64(quarter)
+                if pick.any():
+                    yield from _grouped(key[pick], sig[pick], small)
 
     return run
 
