@@ -93,7 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     carried = ["row_key", "doc_id", F.size("w").alias("n_words"), *(["w"] if small else [])]
     marked = F.concat(F.array(F.lit(MARK)), *[shingle_hashes(F.col("hashes"), k) for k in sizes])
     spread = read.select(*carried, F.posexplode_outer(marked).alias("index", "found"))
-    targets = prefix.unionByName(prefix.sparkSession.createDataFrame([(None, 0, 0, MARK, 0)], prefix.schema))
+    nothing = {"window": None, "n": 0, "k": 0, "h": MARK, "at": 0}
+    targets = prefix.unionByName(prefix.sparkSession.range(1).select(*[F.lit(nothing[f.name]).cast(f.dataType).alias(f.name) for f in prefix.schema]))
     is_mark = F.col("index") == 0
     pos, low = F.lit(None).cast("int"), F.lit(1)
     for k in sizes:
