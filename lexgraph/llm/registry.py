@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, contamination, extraction, quality, secrets, setjoin, sharding, suffixes, warc
+from . import bpe, centroids, chat, contamination, extraction, packing, quality, secrets, setjoin, sharding, suffixes, trie, warc
 from .tables import read, with_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +61,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digested(*centroids.cluster(read(with_workers(spark), sf_dir, "embeddings"), k=8, rounds=10, size=64))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.query(read(with_workers(spark), sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digested(packing.sequences(read(with_workers(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc_round_trip, op2_chat_rotation, op3_main_text, op4_ngram_jaccard_join, op5_benchmark_decontamination,
         op6_suffix_dedup, op7_quality_rules, op8_extendible_sharding, op9_byte_bpe, op10_secret_scan,
+        op11_centroid_clustering, op12_prefix_trie, op13_packing,
     )
 }
 
@@ -116,4 +131,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_rotation": chat.SQL,
     "op5_benchmark_decontamination": contamination.sql(),
     "op8_extendible_sharding": sharding.SQL,
+    "op11_centroid_clustering": centroids.sql(),
+    "op12_prefix_trie": trie.SQL,
 }
