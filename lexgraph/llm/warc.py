@@ -28,6 +28,8 @@ from .tables import cut, shared_folder, with_workers
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload bytes after which a reading task passes on what it has: its memory follows this and the longest read, not the number of records.
+BATCH_BYTES = 16 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -72,10 +74,11 @@ def _write(folder: str, roll_bytes: int, level: int, date: str):
         sink, name, offset = None, "", 0
         try:
             for batch in batches:
-                columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")}
+                columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "digest", "refers_to", "revisit")}
+                texts = batch.column(batch.schema.get_field_index("html"))
                 files, offsets, lengths, sizes = [], [], [], []
-                for page, url, html, digest, refers, revisit in zip(*columns.values(), strict=True):
-                    payload = (html or "").encode()
+                for k, (page, url, digest, refers, revisit) in enumerate(zip(*columns.values(), strict=True)):
+                    payload = (texts[k].as_py() or "").encode()  # one page at a time
                     if sink is None or offset >= roll_bytes:
                         if sink:
                             sink.close()
@@ -120,8 +123,14 @@ def _read(folder: str, gap: int, read_bytes: int):
         try:
             for batch in batches:
                 rows = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "offset", "length")), strict=True))
-                i = 0
-                out: list[tuple[str, bytes]] = []
+                ids, refers = (batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "refers_to"))
+                i, done, held = 0, 0, 0
+                out: list[tuple] = []
+
+                def gathered(done: int, out: list[tuple], ids: pa.Array = ids, refers: pa.Array = refers) -> pa.RecordBatch:
+                    kinds, payloads, digests, urls = zip(*out, strict=True)
+                    return pa.RecordBatch.from_arrays([ids.slice(done, len(out)), pa.array(urls, pa.string()), pa.array(kinds, pa.string()), refers.slice(done, len(out)), pa.array(digests, pa.string()), pa.array(payloads, pa.binary())], names=["page_id", "url", "record_type", "refers_to", "digest", "payload"])
+
                 while i < len(rows):
                     name, start, length = rows[i]
                     j, stop = i + 1, start + length
@@ -139,11 +148,13 @@ def _read(folder: str, gap: int, read_bytes: int):
                         if fields["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
                         out.append((fields["warc-type"], payload, digest, fields.get("warc-target-uri")))
+                        held += len(payload)
+                        if held >= BATCH_BYTES:
+                            yield gathered(done, out)
+                            done, held, out = done + len(out), 0, []
                     i = j
-                ids = batch.column(batch.schema.get_field_index("page_id"))
-                refers = batch.column(batch.schema.get_field_index("refers_to"))
-                kinds, payloads, digests, urls = zip(*out, strict=True) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(urls, pa.string()), pa.array(kinds, pa.string()), refers, pa.array(digests, pa.string()), pa.array(payloads, pa.binary())], names=["page_id", "url", "record_type", "refers_to", "digest", "payload"])
+                if out:
+                    yield gathered(done, out)
         finally:
             if source:
                 source.close()
