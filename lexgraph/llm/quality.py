@@ -1,6 +1,6 @@
 """Operator 7, quality rules: cross-document line frequency.
 
-Lines are normalised (ASCII lower case, runs of white space as one space, trimmed) and hashed to 128 bits.
+Lines are normalised (ASCII lower case, runs of white space as one space, trimmed) and hashed to 128 bits, two hashes of different seeds.
 For each (host, line) the operator counts the *distinct documents* that hold it; exact copies of one text count once, so
 that a text which was crawled many times isn't taken for boilerplate. Altered copies are documents of their own; folding
 them is the work of the join (operator 4). A line is
@@ -89,9 +89,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict:
     """The base counts of each text of a slice, and its normalised lines' hashes with their word counts."""
     n = len(offsets) - 1
     word_at, word_end, owner = tb.word_spans(data, offsets)
-    prefix = tb.prefix_hash(data)
-    words = tb.span_hash(prefix, word_at, word_end)
-    lowered = tb.span_hash(tb.prefix_hash(tb.LOWER[data]), word_at, word_end)
+    words = tb.chunk_hash(data, word_at, word_end)
+    low = tb.LOWER[data]
     n_words = np.bincount(owner, minlength=n).astype(np.int64)
     points = _sums(_STARTS_POINT[data], offsets) - _sums(tb.SPACE[data], offsets)
 
@@ -100,20 +99,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict:
     first, last = np.searchsorted(word_at, at), np.searchsorted(word_at, end)
     some = last > first
     at, end, line_owner, first, last, number = at[some], end[some], line_owner[some], first[some], last[some], number[some]
-    raw = tb.span_hash(prefix, at, end)
+    raw = tb.chunk_hash(data, at, end)
     order = np.lexsort((at, raw, line_owner))
     again = np.zeros(len(order), dtype=bool)
     again[1:] = (raw[order][1:] == raw[order][:-1]) & (line_owner[order][1:] == line_owner[order][:-1])
     n_dup = np.bincount(line_owner[order][again], minlength=n).astype(np.int64)
 
-    # a normalised line is its sequence of lower-cased words: two independent sums give 128 bits
-    place = np.arange(len(lowered), dtype=np.int64)
+    # a normalised line is its sequence of lower-cased words: two hashes of the words, each mixed with its place in the line and added up, give 128 bits
+    count = last - first
+    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     spread = []
-    for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-        total = np.zeros(len(lowered) + 1, dtype=tb.U64)
-        np.cumsum(tb.mix(lowered ^ tb.U64(base)) * tb.powers(base, len(lowered))[place], out=total[1:])
-        value = (total[last] - total[first]) * tb.powers(pow(base, -1, 1 << 64), len(lowered) + 1)[first]
-        spread.append(tb.mix(value + (last - first).astype(tb.U64)).view(np.int64))
+    for seed in (1, 2):
+        hashed = tb.chunk_hash(low, word_at, word_end, seed)
+        total = np.zeros(len(place) + 1, dtype=tb.U64)
+        np.cumsum(tb.mix(hashed[np.repeat(first, count) + place] ^ tb.mix(place.astype(tb.U64) + tb.U64(seed))), out=total[1:])
+        stop = np.cumsum(count)
+        spread.append(tb.mix((total[stop] - total[stop - count]) + count.astype(tb.U64)).view(np.int64))
     return {
         "n_words": n_words, "word_chars": points, "n_symbols": _sums(_SYMBOL[data], offsets), "n_dup_lines": n_dup,
         "n_repeat_words": repeat_words(words, owner, n), "key": tb.text_keys(data, offsets), "line_owner": line_owner, "line": spread[0], "check": spread[1], "line_words": (last - first).astype(np.int32), "line_number": number,
@@ -180,10 +181,13 @@ def without_boilerplate(docs: DataFrame, judged: DataFrame, id_col: str = "doc_i
     """
     with_workers(docs.sparkSession)
     columns = docs.columns
-    verdict = judged.where("kept").select(F.col("row_key").alias("__key"), "removed_lines").dropDuplicates(["__key"])
-    kept = docs.join(verdict, row_key(docs[id_col], docs[text_col], docs[host_col]) == F.col("__key"))
-    dirty = kept.where("removed_lines is not null").select("removed_lines", F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"))
+    verdict = judged.where("kept").select(F.col("row_key").alias("judged_key"), "removed_lines").dropDuplicates(["judged_key"])
+    # the row's other columns travel in one struct, so their names never meet those used here
+    rows = docs.select(row_key(docs[id_col], docs[text_col], docs[host_col]).alias("own_key"), docs[text_col].alias("text"), F.struct(*[docs[c].alias(c) for c in columns if c != text_col]).alias("rest"))
+    kept = rows.join(verdict, F.col("own_key") == F.col("judged_key"))
+    dirty = kept.where("removed_lines is not null").select("removed_lines", "text", "rest")
     cleaned = dirty.mapInArrow(_without_lines, dirty.schema)
-    new = {text_col: F.col("text"), chars_col: F.char_length("text").cast(docs.schema[chars_col].dataType) if chars_col in columns else None}
-    cleaned = cleaned.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in columns])
-    return kept.where("removed_lines is null").select(*[F.col(f"`{c}`") for c in columns]).union(cleaned)
+    plain = {text_col: F.col("text")}
+    new = plain | ({chars_col: F.char_length("text").cast(docs.schema[chars_col].dataType)} if chars_col in columns else {})
+    shaped = lambda df, own: df.select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in columns])
+    return shaped(kept.where("removed_lines is null"), plain).union(shaped(cleaned, new))

@@ -11,7 +11,7 @@ set must meet (t common ones of n lie in the first n - t + 1). The order puts ra
 and empty projections last. So boilerplate that a third of all documents share doesn't make signatures, unless a text holds little else.
 
 Equal sets are one set from the start, so exact copies cost nothing further. A set is addressed by 64 bits; where two sets of the input share them (a second digest tells), that address is replaced by the second one for
-both, so sets are told apart by 128 bits. Sets that share a signature
+both. Both digests are sums over the 64-bit hashes of the shingles, which are mixed from all bytes of their words. Sets that share a signature
 are candidates. Each set emits ``REQUIRED`` - 1 signatures more than needed, so a linked pair shares at least ``REQUIRED`` of them:
 
 * In groups of at most ``SMALL`` sets all pairs are counted, and a pair is compared when it shares enough signatures.
@@ -87,7 +87,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.nd
     """The texts' sets, flat: owner and shingle hash, sorted by both, distinct. Fewer than ``k`` words are one shingle."""
     lowered = tb.LOWER[data]
     starts, ends, owner = tb.word_spans(data, offsets)
-    words = tb.span_hash(tb.prefix_hash(lowered), starts, ends)
+    words = tb.chunk_hash(lowered, starts, ends)
     value, text, _ = tb.shingle_hash(words, owner, k)
     n_words = np.bincount(owner, minlength=len(offsets) - 1)
     first = np.concatenate([[0], np.cumsum(n_words)[:-1]])
