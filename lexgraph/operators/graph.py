@@ -153,11 +153,3 @@ def occurrence_ids(rows: DataFrame, keys: Sequence[str], order: Sequence[str], i
     """WN-15: the second and later occurrences of an id get the suffix ``__occN``."""
     n = F.row_number().over(W.partitionBy(*keys, id_col).orderBy(*order))
     return rows.withColumn("__n", n).withColumn("unique_id", F.when(F.col("__n") > 1, F.concat(F.col(id_col), F.lit("__occ"), F.col("__n").cast("string"))).otherwise(F.col(id_col))).drop("__n")
-
-
-def longest_alias(texts: DataFrame, aliases: DataFrame, text_col: str = "text") -> DataFrame:
-    """JN-25: per text (id, text) the entity whose alias is the longest one contained, ties to the smaller ord. aliases: entity, alias, ord."""
-    known = small(aliases)
-    hits = texts.join(known, F.contains(F.lower(text_col), F.lower("alias")))
-    best = hits.groupBy("id").agg(F.max(F.struct(F.length("alias").alias("l"), (-F.col("ord")).alias("o"), "entity")).alias("b"))
-    return texts.select("id").join(best, "id", "left").select("id", F.col("b.entity").alias("entity"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraph.operators import graph, temporal
+from lexgraph.operators import graph, patterns, temporal
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -260,7 +260,7 @@ def jn25_longest_alias(spark, sf_dir):
     brand = F.substring("p_brand", 1, 7)
     aliases = table(spark, sf_dir, "region").select(F.col("r_name").alias("entity"), F.col("r_name").alias("alias"), F.col("r_regionkey").cast("long").alias("ord"))
     aliases = aliases.union(parts.groupBy(brand.alias("entity")).agg((F.min("p_partkey") + 100).alias("ord")).select("entity", F.col("entity").alias("alias"), "ord"))
-    return graph.longest_alias(parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")), aliases)
+    return patterns.longest_alias(parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")), aliases)
 
 
 VERSIONS = """v AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER w AS version_no, o_orderdate AS valid_from, lead(o_orderdate) OVER w AS valid_to, lag(o_orderkey) OVER w AS prev_id, lead(o_orderkey) OVER w AS next_id
