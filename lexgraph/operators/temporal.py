@@ -89,27 +89,28 @@ def legal_status(version_status: Column, is_current: Column, incoming: Column, o
     )
 
 
+def _apply(state: Column, a: Column) -> Column:
+    """One action (op, old_text, new_text) on a struct (text, applied)."""
+    text, old, new, op = state["text"], a["old_text"], a["new_text"], a["op"]
+    at = F.call_function("instr", text, old)
+    found = at > 0
+    before, after = F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(old), F.length(text))
+    changed = (
+        F.when(op == "ADD", F.concat(text, new)).when(~found, text).when(op == "REPLACE", F.replace(text, old, new)).when(op == "AFTER", F.concat(before, old, new, after))
+        .when(op == "BEFORE", F.concat(before, new, old, after)).when(op == "DELETE", F.trim(F.regexp_replace(F.replace(text, old, F.lit("")), " +", " "))).otherwise(text)
+    )
+    counts = F.when((op == "ADD") | (found & op.isin("REPLACE", "AFTER", "BEFORE", "DELETE")), 1).otherwise(0)
+    return F.struct(changed.alias("text"), (state["applied"] + counts).alias("applied"))
+
+
 def fold_text(actions: DataFrame, key: str, order: Sequence[str], start: str = "") -> DataFrame:
     """VB-06, ST-40: ordered actions (op, old_text, new_text) of a key applied to its content, as one aggregate over the sorted list.
 
     REPLACE swaps all occurrences; AFTER and BEFORE insert at the first anchor; DELETE removes all, squeezes blanks and trims; ADD appends. An action whose text isn't
-    found is skipped and makes no version. A key's list is one provision's history, which is bounded by its own amendments."""
+    found is skipped and makes no version. A key's list is one provision's history, which is bounded by its own amendments; :class:`lexgraph.operators.versions.TextVersions` keeps snapshots and folds new actions only."""
     held = actions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "op", "old_text", "new_text"))).alias("acts"))
     state = F.struct(F.lit(start).alias("text"), F.lit(0).alias("applied"))
-
-    def step(s: Column, a: Column) -> Column:
-        text, old, new, op = s["text"], a["old_text"], a["new_text"], a["op"]
-        at = F.instr(text, old) if isinstance(old, str) else F.call_function("instr", text, old)
-        found = at > 0
-        before, after = F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(old), F.length(text))
-        changed = (
-            F.when(op == "ADD", F.concat(text, new)).when(~found, text).when(op == "REPLACE", F.replace(text, old, new)).when(op == "AFTER", F.concat(before, old, new, after))
-            .when(op == "BEFORE", F.concat(before, new, old, after)).when(op == "DELETE", F.trim(F.regexp_replace(F.replace(text, old, F.lit("")), " +", " "))).otherwise(text)
-        )
-        counts = F.when((op == "ADD") | (found & op.isin("REPLACE", "AFTER", "BEFORE", "DELETE")), 1).otherwise(0)
-        return F.struct(changed.alias("text"), (s["applied"] + counts).alias("applied"))
-
-    return held.select(key, F.aggregate("acts", state, step).alias("s")).select(key, F.col("s.text").alias("text"), F.col("s.applied").cast("long").alias("n_applied"))
+    return held.select(key, F.aggregate("acts", state, _apply).alias("s")).select(key, F.col("s.text").alias("text"), F.col("s.applied").cast("long").alias("n_applied"))
 
 
 #: Levels by the label of a node.
