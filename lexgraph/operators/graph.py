@@ -32,10 +32,10 @@ def hierarchy(levels: Sequence[tuple[DataFrame, str, Column, Column | None, Colu
     return out
 
 
-def ancestors(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """JN-03: id and its parents, ``parent_1`` (nearest) to ``parent_depth``, by left equi joins of fixed depth."""
-    links = nodes.select("id", "parent_id")
-    out = links.select("id", F.col("parent_id").alias("parent_1"))
+def ancestors(nodes: DataFrame, depth: int = 4, above: DataFrame | None = None) -> DataFrame:
+    """JN-03: id and its parents, ``parent_1`` (nearest) to ``parent_depth``, by left equi joins of fixed depth. ``above`` are the nodes that can be parents, all unless told."""
+    links = (above or nodes).select("id", "parent_id")
+    out = nodes.select("id", F.col("parent_id").alias("parent_1"))
     for k in range(2, depth + 1):
         up = links.select(F.col("id").alias("__id"), F.col("parent_id").alias(f"parent_{k}"))
         out = out.join(up, F.col(f"parent_{k - 1}") == F.col("__id"), "left").drop("__id")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from lexgraph.operators import documents
+from lexgraph.operators import audits, documents
+from lexgraph.storage import shared_folder
 from lexgraph.streaming import ingest
 
 from .star import table
@@ -69,6 +68,44 @@ def ag24_audit(spark, sf_dir):
     )
 
 
+@query("""WITH e AS (SELECT concat('D', l_suppkey % 4) AS document, concat('O', l_orderkey) AS source, concat('P', l_partkey) AS target, l_returnflag AS relation, l_quantity > 40 AS ext FROM lineitem),
+u AS (SELECT o_orderkey % 7 = 0 AS amended, CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END AS n_un, CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus = 'P' THEN 1 ELSE 0 END AS differs FROM orders),
+x AS (SELECT (SELECT count(*) FILTER (WHERE amended) FROM u) AS a, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS b, (SELECT CAST(sum(n_un) + sum(differs) AS BIGINT) FROM u) AS c, (SELECT count(*) FROM e WHERE source = 'O2' AND target = 'P2') AS d, (SELECT count(*) FROM e WHERE source = 'O1' AND target = 'P1') AS d1,
+  (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY source, target, relation HAVING count(*) > 1)) AS f, (SELECT count(*) FROM supplier) AS g, (SELECT count(*) FROM region) AS h, (SELECT count(*) FILTER (WHERE ext) FROM e) AS i, (SELECT count(*) FROM nation) AS i1,
+  (SELECT 5 - count(DISTINCT document) FROM e WHERE target LIKE 'P1%') AS j),
+r AS (SELECT unnest([{'c': 'issue_1_backfill_originals', 'n': a, 'p': a > 0}, {'c': 'issue_2_amendment_edges', 'n': b, 'p': b > 0}, {'c': 'issue_3_target_documents', 'n': c, 'p': c = 0}, {'c': 'issue_4_quoted_context', 'n': d, 'p': d = 0 AND d1 > 0}, {'c': 'issue_5_deduplication', 'n': f, 'p': f = 0},
+  {'c': 'issue_6_effective_support', 'n': g, 'p': g > 0}, {'c': 'issue_7_duplicate_ids', 'n': h, 'p': h >= 2}, {'c': 'issue_8_external_references', 'n': i, 'p': i > 0 AND i1 > 0}, {'c': 'issue_9_cross_document', 'n': j, 'p': j = 0}]) AS y FROM x)
+SELECT y.c AS "check", y.n AS n, y.p AS passed FROM r UNION ALL SELECT 'all_pass', count(*) FILTER (WHERE NOT y.p), bool_and(y.p) FROM r""")
+def ag24_nine_checks(spark, sf_dir):
+    """AG-24, VAL-12, CD-08, CD-09: the nine checks of a parsed corpus, over orders as units and lines as reference edges."""
+    t = lambda n: table(spark, sf_dir, n)
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    lines, orders = t("lineitem"), t("orders")
+    edges = lines.select(F.concat(F.lit("D"), (F.col("l_suppkey") % 4).cast("string")).alias("document"), name("O", "l_orderkey").alias("source"), name("P", "l_partkey").alias("target"), F.col("l_returnflag").alias("relation"), (F.col("l_quantity") > 40).alias("external"))
+    told = F.array(F.lit("x"))
+    wrong = (F.col("o_orderkey") % 5 == 0) & (F.col("o_orderstatus") == "P")
+    units = orders.select(name("O", "o_orderkey").alias("id"), (F.col("o_orderkey") % 7 == 0).alias("amended"), F.col("o_custkey").isNull().cast("int").alias("n_unresolved"), told.alias("expected"), F.when(wrong, F.array(F.lit("y"))).otherwise(told).alias("actual"))
+    known = spark.createDataFrame([("O1", "P1", True), ("O2", "P2", False)], "source string, target string, right boolean")
+    crossing = spark.range(5).select(F.concat(F.lit("D"), F.col("id").cast("string")).alias("document"), F.lit("P1").alias("prefix"))
+    return audits.nine_checks(edges, units, lines.where("l_returnflag = 'R'"), t("supplier"), t("region"), t("nation"), known, crossing)
+
+
+@query("""WITH c AS (SELECT 'blank_text' AS "check", count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS n FROM documents UNION ALL SELECT 'short_text', count(*) FILTER (WHERE n_chars < 100) FROM documents UNION ALL SELECT 'foreign_text', count(*) FILTER (WHERE lang <> 'en') FROM documents
+UNION ALL SELECT 'repeated_id', (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY doc_id HAVING count(*) > 1)) UNION ALL SELECT 'repeated_text', (SELECT count(*) FROM (SELECT 1 FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)) UNION ALL SELECT 'repeated_size', (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY source, n_chars HAVING count(*) > 1))
+UNION ALL SELECT 'unknown_customer', (SELECT count(*) FROM orders ANTI JOIN customer ON o_custkey = c_custkey) UNION ALL SELECT 'order_without_line', (SELECT count(*) FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey) UNION ALL SELECT 'line_of_open_order', (SELECT count(*) FROM lineitem ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') ON l_orderkey = o_orderkey))
+SELECT "check", n, n = 0 AS passed FROM c UNION ALL SELECT 'all_pass', CAST(sum(n) AS BIGINT), sum(n) = 0 FROM c""")
+def val12_shared_checks(spark, sf_dir):
+    """VAL-01 to VAL-06, VAL-10 to VAL-12: three row checks in one pass, three key checks by one aggregate, three reference checks by one join."""
+    t = lambda n: table(spark, sf_dir, n)
+    docs = t("documents").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    rows = audits.row_checks(docs, {"blank_text": F.trim(F.coalesce("text", F.lit(""))) == "", "short_text": F.col("n_chars") < 100, "foreign_text": F.col("lang") != "en"})
+    keys = audits.key_checks(docs, {"repeated_id": ["doc_id"], "repeated_text": ["digest"], "repeated_size": ["source", "n_chars"]})
+    references = audits.reference_checks({
+        "unknown_customer": (t("orders"), "o_custkey", t("customer"), "c_custkey"), "order_without_line": (t("orders"), "o_orderkey", t("lineitem"), "l_orderkey"), "line_of_open_order": (t("lineitem"), "l_orderkey", t("orders").where("o_orderstatus <> 'O'"), "o_orderkey"),
+    })
+    return audits.report(rows, keys, references)
+
+
 @query("SELECT count(*) FILTER (WHERE p_type LIKE '%STEEL%') AS n_laws, count(*) FILTER (WHERE p_type NOT LIKE '%STEEL%') AS n_decrees, count(*) AS n FROM part")
 def ag26_catalogue_split(spark, sf_dir):
     """AG-26: two kinds of the catalogue, counted."""
@@ -129,7 +166,7 @@ def ar02_variant_paths(spark, sf_dir):
 @query("SELECT event_type, count(DISTINCT event_id) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def sm02_stream_ingest(spark, sf_dir):
     """SM-02, SM-03: events ingested as a stream, once per key, then counted; the tables are in the shared folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     ingest.ingest(source, f"{base}/out", f"{base}/checkpoint", "event_id", "ts")

@@ -71,10 +71,16 @@ def pr03_hierarchy(spark, sf_dir):
     return nodes(spark, sf_dir)
 
 
-@query(f"WITH {NODES} SELECT a.id, a.parent_id AS parent_1, b.parent_id AS parent_2, c.parent_id AS parent_3, d.parent_id AS parent_4 FROM nodes a LEFT JOIN nodes b ON a.parent_id = b.id LEFT JOIN nodes c ON b.parent_id = c.id LEFT JOIN nodes d ON c.parent_id = d.id WHERE a.label IN ('Document', 'Chapter', 'Article', 'Clause')")
+@query("""WITH cust AS (SELECT c_custkey, concat('R', n_regionkey) AS r, concat('R', n_regionkey, '_C', c_nationkey) AS c, concat('R', n_regionkey, '_C', c_nationkey, '_D', c_custkey) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ord AS (SELECT o_orderkey, r, c, d, concat(d, '_K', o_orderkey) AS k FROM orders JOIN cust ON o_custkey = c_custkey)
+SELECT concat('R', r_regionkey) AS id, CAST(NULL AS VARCHAR) AS parent_1, CAST(NULL AS VARCHAR) AS parent_2, CAST(NULL AS VARCHAR) AS parent_3, CAST(NULL AS VARCHAR) AS parent_4 FROM region
+UNION ALL SELECT concat('R', n_regionkey, '_C', n_nationkey), concat('R', n_regionkey), NULL, NULL, NULL FROM nation UNION ALL SELECT d, c, r, NULL, NULL FROM cust UNION ALL SELECT k, d, c, r, NULL FROM ord
+UNION ALL SELECT concat(k, '_P', l_linenumber), k, d, c, r FROM lineitem JOIN ord ON l_orderkey = o_orderkey""")
 def jn03_ancestor_chain(spark, sf_dir):
-    """JN-03: parents of every provision above the points."""
-    return graph.ancestors(nodes(spark, sf_dir, 4))
+    """JN-03: parents of every provision, points included."""
+    n = nodes(spark, sf_dir)
+    # a point has no children, so only the levels above can be parents
+    return graph.ancestors(n, above=n.where("label <> 'Point'"))
 
 
 @query("SELECT r_name, n_name, count(DISTINCT c_custkey) AS n_articles, count(DISTINCT c_mktsegment) AS n_segments FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL ORDER BY n_articles DESC, n_name LIMIT 10 OFFSET 5")
@@ -103,11 +109,15 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFERENCES = "refs AS (SELECT DISTINCT concat('O', l_orderkey) AS src, 'USES' AS rel, concat('P', l_partkey) AS dst FROM lineitem UNION SELECT DISTINCT concat('O', l_orderkey), 'FROM', concat('S', l_suppkey) FROM lineitem)"
 
 
-@query(f"WITH {REFERENCES}, both_ways AS (SELECT src AS id, dst AS other, rel, 'out' AS direction FROM refs UNION ALL SELECT dst, src, rel, 'in' FROM refs) SELECT id, direction, rel, count(*) AS n, min(other) AS first, string_agg(other, ',' ORDER BY other) AS others FROM both_ways WHERE NOT (direction = 'in' AND rel = 'FROM') GROUP BY id, direction, rel")
+@query(f"""WITH {REFERENCES}, both_ways AS (SELECT src AS id, dst AS other, rel, 'out' AS direction FROM refs UNION ALL SELECT dst, src, rel, 'in' FROM refs),
+b AS (SELECT id, direction, rel, CAST(substr(other, 2) AS BIGINT) // 1000 AS bucket, count(*) AS n, min(other) AS first, md5(string_agg(other, ',' ORDER BY other)) AS part FROM both_ways GROUP BY ALL)
+SELECT id, direction, rel, CAST(sum(n) AS BIGINT) AS n, min(first) AS first, md5(string_agg(part, ',' ORDER BY bucket)) AS others FROM b GROUP BY id, direction, rel""")
 def jn07_references_both_ways(spark, sf_dir):
-    """JN-05, JN-06, JN-07, AG-02: references from both ends, rendered as ordered lists (suppliers' incoming lists, which grow with the data, are left to counts elsewhere)."""
-    both = graph.directed_both_ways(references(spark, sf_dir)).where("not (direction = 'in' and rel = 'FROM')")
-    return both.groupBy("id", "direction", "rel").agg(F.count("*").alias("n"), F.min("other").alias("first"), F.array_join(F.sort_array(F.collect_list("other")), ",").alias("others"))
+    """JN-05, JN-06, JN-07, AG-02: every reference from both of its ends. Lists are digests of buckets of a thousand numbers each, so a supplier's list, which grows with the data, is never held as one."""
+    both = graph.directed_both_ways(references(spark, sf_dir)).withColumn("bucket", F.floor(F.substring("other", 2, 20).cast("long") / 1000))
+    ordered = lambda key, value: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value]), ",").cast("binary"))
+    parts = both.groupBy("id", "direction", "rel", "bucket").agg(F.count("*").alias("n"), F.min("other").alias("first"), F.md5(F.array_join(F.sort_array(F.collect_list("other")), ",").cast("binary")).alias("part"))
+    return parts.groupBy("id", "direction", "rel").agg(F.sum("n").alias("n"), F.min("first").alias("first"), ordered("bucket", "part").alias("others"))
 
 
 @query(f"WITH {REFERENCES} SELECT dst AS id, count(*) AS n_in, count(DISTINCT rel) AS n_rel FROM refs GROUP BY dst")
