@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexgraph.operators import audits, documents
 from lexgraph.storage import shared_folder
-from lexgraph.streaming import ingest
+from lexgraph.streaming import ingest, status
 
 from .star import table
 
@@ -171,3 +171,30 @@ def sm02_stream_ingest(spark, sf_dir):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     ingest.ingest(source, f"{base}/out", f"{base}/checkpoint", "event_id", "ts")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS task_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'click' THEN 'started' WHEN 'view' THEN 'succeeded' WHEN 'purchase' THEN CASE WHEN event_id % 97 = 0 THEN 'finished' ELSE 'failed_units' END ELSE CASE WHEN event_id % 89 = 0 THEN 'broken' ELSE 'submitted' END END AS kind FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM e),
+d AS (SELECT task_id, min(n) FILTER (WHERE kind IN ('finished', 'broken')) AS ended, arg_min(kind, n) FILTER (WHERE kind IN ('finished', 'broken')) AS how, count(*) FILTER (WHERE kind = 'succeeded') AS good, count(*) FILTER (WHERE kind = 'failed_units') AS bad,
+  bool_or(kind IN ('started', 'succeeded', 'failed_units')) AS began, min((epoch_us(ts) // 1000)) AS first, max((epoch_us(ts) // 1000)) AS last FROM o GROUP BY task_id),
+w AS (SELECT *, ended IS NULL AND last + 14400000 <= (SELECT max((epoch_us(ts) // 1000)) - 600000 FROM events) AS silent FROM d)
+SELECT task_id, CASE WHEN how = 'finished' THEN 'completed' WHEN how = 'broken' OR silent THEN 'failed' WHEN began THEN 'processing' ELSE 'pending' END AS status, good AS successful_units, bad AS failed_units, last - first AS elapsed_ms, CASE WHEN how = 'broken' THEN 'broken' WHEN silent THEN 'no event within the expected time' END AS error FROM w""")
+def sm02_task_status(spark, sf_dir):
+    """SM-02: events of users as events of tasks, whose status is keyed state of a stream; timers fail the silent ones."""
+    base = shared_folder(spark, "status")
+    kind = F.col("event_type")
+    told = F.when(kind == "signup", status.SUBMITTED).when(kind == "click", status.STARTED).when(kind == "view", status.SUCCEEDED)
+    told = told.when(kind == "purchase", F.when(F.col("event_id") % 97 == 0, status.FINISHED).otherwise(status.FAILED_UNITS)).otherwise(F.when(F.col("event_id") % 89 == 0, status.BROKEN).otherwise(status.SUBMITTED))
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = source.select(F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"), F.col("user_id").alias("task_id"), told.alias("kind"), F.col("ts").alias("at"), F.lit(1).alias("units"), F.when(told == status.BROKEN, "broken").alias("error"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream = status.statuses(events, "4 hours", "10 minutes")
+        stream.writeStream.format("parquet").option("path", f"{base}/changes").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return status.latest(spark.read.parquet(f"{base}/changes")).drop("version", "processed_units")
