@@ -12,8 +12,9 @@ after that, white space inside a block becomes one space. Unclosed and stray tag
 a block around it, where HTML implies its end (a paragraph at the next block, a list item at the next item), with an opening article, or with the page. An article in an aside, footer or dialog, or in an element that its
 attributes mark as boilerplate, is part of that.
 
-An element is boilerplate by its attributes if it is hidden or has such a role, or if a whole class or id names one: each part of the name is a
-boilerplate word or a neutral one (``site-footer``, but not ``with-sidebar``). Headings, and inline elements inside an article, aren't skipped by such names.
+An element is boilerplate by its attributes if it is hidden or has such a role, or if a class or id names one. A name is split at marks and at changes of case, and plurals count as
+singulars. A word that always names such a part (``comment``, ``newsletter``, ``advert``) decides alone (``readerComments``), unless the name says otherwise (``no-comments``) or reads like a phrase
+(``comments-on-the-theory``); other words decide if the rest of the name is neutral (``site-footer``, but not ``with-sidebar``). Headings, and inline elements inside an article, aren't skipped by such names.
 
 Defined results: null or empty html has an empty text (n_chars 0); repeated rows each get a row; further columns are ignored; nothing is cut off, whatever the length.
 """
@@ -47,11 +48,15 @@ OWN_ARTICLES = {"aside", "footer", "dialog"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "login", "masthead", "menu",
-    "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
+    "alert", "copyright", "disclaimer", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "recommendation", "recommended", "signup", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
 }
-#: Words that say where or in what form a part stands, not what it is about.
+#: Those that name such a part whatever else stands in the name.
+DECISIVE_WORDS = {"advert", "advertisement", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "sponsored"}
+#: What says that a part isn't there, or is about it.
+DENYING_WORDS = {"about", "after", "and", "before", "disable", "disabled", "enable", "enabled", "for", "has", "hide", "how", "in", "is", "no", "not", "of", "on", "open", "the", "to", "what", "why", "with", "without"}
+#: Words that say where or in what form a part stands, or for whom, not what it is about.
 NEUTRAL_WORDS = {
-    "area", "bar", "block", "body", "bottom", "box", "buttons", "button", "container", "content", "custom", "desktop", "floating", "form", "global", "group", "icons", "inner", "item", "items", "layer", "left", "links", "list",
+    "article", "more", "news", "reader", "reading", "slot", "stories", "story", "unit", "up", "sign", "user", "visitor", "your", "zone", "area", "bar", "block", "body", "bottom", "box", "buttons", "button", "container", "content", "custom", "desktop", "floating", "form", "global", "group", "icons", "inner", "item", "items", "layer", "left", "links", "list",
     "main", "mobile", "outer", "overlay", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "sticky", "thread", "toolbar", "top", "wrap", "wrapper",
 }
 #: A header of these holds the title of the text.
@@ -71,16 +76,24 @@ LISTS = {"ul", "ol", "menu"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>\"'<]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+[^>]*)>", re.S)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+def _one(word: str) -> str:
+    """The singular of a word of a name."""
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
 
 
 def _names_boilerplate(value: str) -> bool:
-    """Whether a whole class or id of ``value`` consists of boilerplate words and neutral ones."""
+    """Whether a class or id of ``value`` names boilerplate: by a decisive word that nothing denies, or by boilerplate words and neutral ones only."""
     for token in value.split():
-        words = _WORD.findall(token)
-        found = [w for w in words if w in BOILERPLATE_WORDS]
+        words = [w.lower() for w in _WORD.findall(token)]
+        known = lambda w, names: w in names or _one(w) in names
+        found = [w for w in words if known(w, BOILERPLATE_WORDS)]
+        if not found or not DENYING_WORDS.isdisjoint(words):
+            continue
         titled = set(found) == {"header"} and not TITLED_WORDS.isdisjoint(words)
-        if found and not titled and all(w in BOILERPLATE_WORDS or w in NEUTRAL_WORDS for w in words):
+        if any(known(w, DECISIVE_WORDS) for w in found) or not titled and all(known(w, BOILERPLATE_WORDS) or known(w, NEUTRAL_WORDS) for w in words):
             return True
     return False
 
@@ -90,9 +103,10 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
         return False
     named = name not in HEADINGS and (name in STACKED or not in_article)
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if named and key in ("class", "id") and _names_boilerplate(value):
             return True
+        value = value.lower()
         if key == "role" and value in BOILERPLATE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "style" and "display:none" in value.replace(" ", ""):
