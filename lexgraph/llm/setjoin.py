@@ -283,14 +283,17 @@ def _groups(small: int):
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 buckets.setdefault(b, []).append(blob)
         for b in sorted(buckets):
-            parts = [_unpacked(x) for x in buckets.pop(b)]
-            key, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            del parts
-            share = (sig >> U64(SIG_BITS - 2)) & U64(3)  # a signature lies in one quarter; sorting takes memory by quarters
-            for quarter in range(4):
-                pick = share == U64(quarter)
-                if pick.any():
-                    yield from _grouped(key[pick], sig[pick], small)
+            blobs = buckets.pop(b)
+            for quarter in range(4):  # a signature lies in one quarter; unpacking and sorting take memory by quarters
+                parts = []
+                for blob in blobs:
+                    key, sig = _unpacked(blob)
+                    pick = (sig >> U64(SIG_BITS - 2)) & U64(3) == U64(quarter)
+                    parts.append((key[pick], sig[pick]))
+                key, sig = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                del parts
+                if len(key):
+                    yield from _grouped(key, sig, small)
 
     return run
 
