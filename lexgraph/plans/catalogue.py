@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import amendments, changes, corpus, entity_import, scalars, search, sentences, star
+from . import amendments, changes, corpus, entity_import, paths, scalars, search, sentences, star
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [star, search, scalars, corpus, amendments, entity_import, sentences, changes]
+MODULES = [star, search, scalars, corpus, amendments, entity_import, sentences, changes, paths]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
