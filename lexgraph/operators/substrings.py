@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgraph.storage import kept
+from lexgraph.storage import kept, spread
 
 from . import patterns
 from .retrieval import EXPANSIONS, LIGHT, OVERTAKING, _any, density_query
@@ -32,9 +32,9 @@ def _grams(word: Column, size: int) -> Column:
     return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(word, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def gram_index(words: DataFrame) -> DataFrame:
-    """(gram, word) for grams of one, two and three characters of distinct words (word)."""
-    return words.select("word", F.explode(F.concat(_grams(F.col("word"), 1), _grams(F.col("word"), 2), _grams(F.col("word"), 3))).alias("gram"))
+def gram_index(words: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(gram, word) for grams of the given sizes of distinct words (word)."""
+    return words.select("word", F.explode(F.concat(*[_grams(F.col("word"), k) for k in sizes])).alias("gram"))
 
 
 def containing(index: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -43,11 +43,11 @@ def containing(index: DataFrame, tokens: DataFrame) -> DataFrame:
     A token is looked up by the rarest of its grams of the longest size it has."""
     size = F.least(F.char_length("token"), F.lit(3))
     own = tokens.select("token").distinct().select("token", F.when(size == 3, _grams(F.col("token"), 3)).when(size == 2, _grams(F.col("token"), 2)).otherwise(_grams(F.col("token"), 1)).alias("grams"))
-    spread = own.select("token", F.explode("grams").alias("gram"))
-    asked = index.join(spread.select("gram").distinct(), "gram", "left_semi")
+    each = own.select("token", F.explode("grams").alias("gram"))
+    asked = kept(index.join(each.select("gram").distinct(), "gram", "left_semi"), "asked-grams")
     frequency = asked.groupBy("gram").agg(F.count("*").alias("words"))
     # a gram that no word has is the rarest of all, and then no word holds the token
-    rarest = spread.join(frequency, "gram", "left").withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(F.coalesce("words", F.lit(0)), "gram"))).where("place = 1").select("token", "gram")
+    rarest = each.join(frequency, "gram", "left").withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(F.coalesce("words", F.lit(0)), "gram"))).where("place = 1").select("token", "gram")
     met = asked.join(rarest, "gram").where(F.contains("word", F.col("token")))
     times = (F.char_length("word") - F.char_length(F.replace("word", F.col("token")))) / F.char_length("token")
     return met.select("token", "word", times.alias("times"))
@@ -55,8 +55,10 @@ def containing(index: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def token_frequencies(counts: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id, token, tf) of the tokens that a text contains as substrings. counts: :func:`word_counts`."""
-    index = gram_index(counts.select("word").distinct())
-    hits = kept(containing(index, tokens), "token-words")
+    wanted = kept(tokens.select("token").distinct(), "tokens")
+    sizes = tuple(sorted(r[0] for r in wanted.select(F.least(F.char_length("token"), F.lit(3))).distinct().collect() if r[0]))
+    index = gram_index(counts.select("word").distinct(), sizes or (3,))
+    hits = kept(containing(index, wanted), "token-words")
     return counts.join(hits, "word").groupBy("id", "token").agg(F.sum(F.col("n") * F.col("times")).alias("tf"))
 
 
@@ -65,7 +67,7 @@ def lexical_densities(texts: DataFrame, questions: DataFrame) -> DataFrame:
 
     Tokens are decided per word, bigrams by one automaton pass over the texts, phrases once per text and once per question."""
     asked = kept(questions.select("query_id", density_query(F.col("text")).alias("a"), "text").select("query_id", "a.tokens", F.col("a.bigrams").alias("pairs"), F.col("a.lights").alias("lights"), _mask(F.lower(F.coalesce("text", F.lit(""))), 0).alias("mask")), "questions")
-    lowered = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    lowered = spread(texts.select("id", "text")).select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     counts = kept(word_counts(lowered), "word-counts")
     tokens = asked.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
     found = token_frequencies(counts, tokens).join(tokens, "token").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf"))

@@ -2,7 +2,7 @@
 
 Layout below ``path``:
 
-* ``postings/bucket=B/batch=X``: a row per (term, block of ids): n, max_tf, min_dl, ids, tfs, dls. A block covers ``BLOCK`` consecutive ids, so a row is bounded, and
+* ``postings/bucket=B/batch=X``: a row per (term, block of ids): n, words, max_tf, min_dl, ids, tfs, dls. A block covers ``BLOCK`` consecutive ids, so a row is bounded, and
   a term that stands in every unit is many rows that are dealt over tasks and files.
 * ``totals/batch=X``: units and words of a batch.
 
@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgraph.storage import kept
+from lexgraph.storage import exists, kept, spread
 
 from .retrieval import B, K1, terms
 
 BLOCK = 4096
 BUCKETS = 64
+SHARES = 8
 #: Scores are rounded to four places, so a unit this much below the k-th score may still tie with it.
 TIE = 1.01e-4
 #: Units, in multiples of k, whose scores set the threshold below which nothing is looked at.
@@ -38,17 +39,18 @@ class TextIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def append(self, units: DataFrame, batch: str, id_col: str = "id", text_col: str = "text") -> None:
-        """SNK-12: index a batch of units whose ids no other batch has. Null ids aren't indexed; a null text counts as a unit, but not for the mean length; repeated rows are one unit."""
-        base = units.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), terms(F.col(text_col)).alias("w")).dropDuplicates(["id"])
-        sized = base.select("id", F.when(F.col("w").isNotNull(), F.size("w")).alias("dl"), "w")
-        counts = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        """SNK-12: index a batch of units whose ids no other batch has. Null ids aren't indexed; a null text counts as a unit, but not for the mean length; ids are distinct."""
+        whole = units.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        counts = spread(whole).select("id", terms(F.col("text")).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
         held = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))
-        rows = counts.groupBy("term", F.floor(F.col("id") / self.block).alias("block")).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("p"))
-        rows = rows.select("term", "block", "n", "max_tf", "min_dl", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")], self._bucket(F.col("term")).alias("bucket"), F.lit(batch).alias("batch"))
-        dealt = rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        rows = counts.groupBy("term", F.floor(F.col("id") / self.block).alias("block")).agg(F.count("*").cast("int").alias("n"), F.sum("tf").alias("words"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("p"))
+        rows = rows.select("term", "block", "n", "words", "max_tf", "min_dl", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")], self._bucket(F.col("term")).alias("bucket"), F.lit(batch).alias("batch"))
+        # a bucket is dealt over SHARES tasks by blocks, so a term of every unit isn't one task
+        dealt = rows.repartition("bucket", F.pmod("block", F.lit(SHARES))).sortWithinPartitions("bucket", "term", "block")
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/postings")
         # last, so that a batch counts when it is whole
-        totals = sized.agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).withColumn("batch", F.lit(batch))
+        words = self.postings().where(F.col("batch") == batch).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] if exists(self.spark, f"{self.path}/postings") else 0
+        totals = whole.agg(F.count("*").alias("n"), F.count("text").alias("texts")).withColumn("words", F.lit(words).cast("long")).withColumn("batch", F.lit(batch))
         totals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/totals")
 
     def postings(self, buckets: list[int] | None = None) -> DataFrame:
@@ -77,9 +79,8 @@ class TextIndex:
 
         of_terms = self.postings(buckets).join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
         # headers: a bound of what a unit can get in a block, and in any block of the term
-        heads = of_terms.select("term", "block", "batch", "n", "max_tf", "min_dl")
-        df = heads.groupBy("term").agg(F.sum("n").alias("df")).withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        known = df.join(heads.groupBy("term").agg(F.max("max_tf").alias("t"), F.min("min_dl").alias("d")), "term").select("term", "df", "idf", part(F.col("t"), F.col("d")).alias("most"))
+        heads = kept(of_terms.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("t"), F.min("min_dl").alias("d")), "heads")
+        known = heads.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("term", "df", "idf", part(F.col("t"), F.col("d")).alias("most"))
         weights = kept(asked.select("query_id", "term").join(known, "term"), "weights")
 
         # the threshold: the k-th best of what the query's rarest terms alone give to their units

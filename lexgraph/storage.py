@@ -27,6 +27,13 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files are fewer than these: heavy work on rows would else run in as many tasks as there are files. Inputs of many files aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, by Hadoop's file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
