@@ -51,3 +51,15 @@ def average_precision(ranked: DataFrame, group: str) -> DataFrame:
     seen = F.sum("rel").over(W.partitionBy(group).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     marked = ranked.withColumn("p", F.col("rel") * seen / F.col("rank"))
     return marked.groupBy(group).agg(F.round(F.when(F.sum("rel") > 0, F.sum("p") / F.sum("rel")).otherwise(0.0), 6).alias("ap"), F.sum("rel").cast("long").alias("n_relevant"))
+
+
+#: How far a sample is judged.
+TIERS = ("deterministic", "full")
+
+
+def overall_passed(deterministic: Column, judged: Column, tier: str) -> Column:
+    """CD-11: whether a sample passes: by its deterministic checks alone, or, in the full tier, only if a judge passed it, too; a missing judgement fails."""
+    if tier not in TIERS:
+        raise ValueError(f"unknown tier {tier!r}")
+    passed = F.coalesce(deterministic, F.lit(False))
+    return passed if tier == "deterministic" else passed & F.coalesce(judged, F.lit(False))

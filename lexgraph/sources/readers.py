@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgraph.functions import text as T
@@ -129,3 +130,28 @@ def read_units(spark: SparkSession, path: str, doc_id: str | None = None) -> Dat
 def pending(units: DataFrame, done: DataFrame, key: str = "id", force: bool = False) -> DataFrame:
     """FL-16, SRC-15, SRC-16, SM-03: units that have no result yet."""
     return units if force else units.join(done.select(key).distinct(), key, "left_anti")
+
+
+AMENDED_UNIT = "struct<target_unit:string,target_level:string,replacement_level:string,replacement_path:string>"
+AMENDING_ACTION = f"struct<action_id:string,operation:string,raw_instruction:string,resolution_status:string,targets:array<{AMENDED_UNIT}>>"
+EVENT = f"struct<source_document:string,target_document:string,items:array<struct<source_unit:string,replacement_root_level:string,actions:array<{AMENDING_ACTION}>>>>"
+
+
+def read_amendments(spark: SparkSession, path: str, doc_filter: str | None = None) -> DataFrame:
+    """SRC-05: the actions of every ``amendment_index.json`` below ``path``: file, event, item, action (places from 0), semantic_index, source_document, target_document, source_unit and the action's fields.
+
+    With ``doc_filter`` an event stays if the canonical id of either document holds it; missing documents are empty. ``semantic_index`` numbers the items of the events that stay, from 1, by file name, event and item, whether or not
+    they have actions; the offsets of files are sums over one row per file."""
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "amendment_index.json").option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    events = raw.select("file", F.posexplode(F.from_json("value", f"array<{EVENT}>")).alias("event", "e")).select("file", "event", "e.*")
+    named = events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source_document", "target_document")})
+    if doc_filter:
+        ids = [F.coalesce(T.document_id(F.col(c)), F.lit("")) for c in ("source_document", "target_document")]
+        named = named.where(F.contains(ids[0], F.lit(doc_filter)) | F.contains(ids[1], F.lit(doc_filter)))
+    items = named.select("file", "event", "source_document", "target_document", F.posexplode("items").alias("item", "i"))
+    in_file = F.row_number().over(W.partitionBy("file").orderBy("event", "item"))
+    sizes = items.groupBy("file").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("file").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = items.withColumn("k", in_file).join(before, F.col("file") == F.col("of")).withColumn("semantic_index", F.col("k") + F.col("before"))
+    each = numbered.select("file", "event", "item", "semantic_index", "source_document", "target_document", "i.source_unit", F.posexplode_outer("i.actions").alias("action", "a"))
+    return each.select("file", "event", "item", "action", "semantic_index", "source_document", "target_document", "source_unit", "a.*")

@@ -1,13 +1,15 @@
 """The .docx data source in batches and streams, and traversals of any depth."""
 
+import json
 import os
 import random
 import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexgraph.operators import traversal
+from lexgraph.operators import evaluate, traversal
 from lexgraph.sources import docx, readers
 
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -113,3 +115,25 @@ def test_hierarchies(spark):
     across = spark.createDataFrame([("R_a", "R_b_1"), ("R_c", "R_a")], "src string, dst string")
     got = {tuple(r) for r in traversal.neighbours(spark.createDataFrame([("R_a", "R_a")], "root string, id string"), down, across, 2).collect()}
     assert got == {("R_a", "R", "parent", 1), *[("R_a", f"R_a_{k}", "child", 1) for k in range(3)], ("R_a", "R_a_0_x", "child", 2), ("R_a", "R_b_1", "reference", 1), ("R_a", "R_c", "reference", 1)}
+
+
+def test_amendment_indexes(spark, tmp_path):
+    def event(source, target, *items):
+        return {"source_document": source, "target_document": target, "items": [{"source_unit": u, "actions": [{"action_id": a, "operation": "BAI_BO", "targets": [{"target_unit": f"{a}t"}]} for a in acts]} for u, acts in items]}
+
+    for name, events in (("b", [event("1/2020/X", "2/2020/NĐ-CP", ("u1", ["a1", "a2"]), ("u2", []))]), ("a", [event("3/2020/X", None, ("u3", ["a3"])), event("2/2020/NĐ-CP", "9/9/9", ("u4", ["a4"]))]), ("c", [])):
+        (tmp_path / name / "deep").mkdir(parents=True)
+        (tmp_path / name / "deep" / "amendment_index.json").write_text(json.dumps(events), encoding="utf-8")
+    (tmp_path / "a" / "other.json").write_text("[]")
+    shown = lambda df: sorted((r.semantic_index, r.source_unit, r.action_id) for r in df.collect())
+    assert shown(readers.read_amendments(spark, str(tmp_path)))[:4] == [(1, "u3", "a3"), (2, "u4", "a4"), (3, "u1", "a1"), (3, "u1", "a2")]
+    kept = readers.read_amendments(spark, str(tmp_path), "2_2020_ND-CP")
+    assert [(r.semantic_index, r.source_unit, r.action_id, r.target_document) for r in kept.orderBy("semantic_index", "action").collect()] == [(1, "u4", "a4", "9/9/9"), (2, "u1", "a1", "2/2020/NĐ-CP"), (2, "u1", "a2", "2/2020/NĐ-CP"), (3, "u2", None, "2/2020/NĐ-CP")]
+
+
+def test_tiers(spark):
+    df = spark.createDataFrame([(True, True), (True, None), (True, False), (False, True), (None, True)], "d boolean, j boolean")
+    passed = lambda tier: [r[0] for r in df.select(evaluate.overall_passed(F.col("d"), F.col("j"), tier)).collect()]
+    assert passed("deterministic") == [True, True, True, False, False] and passed("full") == [True, False, False, False, False]
+    with pytest.raises(ValueError, match="tier"):
+        evaluate.overall_passed(F.col("d"), F.col("j"), "half")
