@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexgraph.operators import evaluate, retrieval, substrings
 from lexgraph.operators.textindex import TextIndex
 from lexgraph.operators.vectorindex import VectorIndex
-from lexgraph.storage import shared_folder
+from lexgraph.storage import exists, shared_folder
 
 from .star import table
 
@@ -54,7 +54,7 @@ _vector_indexes: dict[tuple[str, str], VectorIndex] = {}
 def _vector_index(spark, sf_dir) -> VectorIndex:
     """The stored index of all vectors, appended in two batches; an application builds it once."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _vector_indexes:
+    if key not in _vector_indexes or not exists(spark, _vector_indexes[key].path):
         vectors = _vectors(spark, sf_dir).select("id", "embedding")
         index = VectorIndex.fit(vectors, shared_folder(spark, "vector-index"))
         index.append(vectors.where("id % 2 = 0"), "even")
@@ -107,7 +107,7 @@ _indexes: dict[tuple[str, str], TextIndex] = {}
 def _index(spark, sf_dir) -> TextIndex:
     """The stored index of all documents; an application builds it once."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
+    if key not in _indexes or not exists(spark, _indexes[key].path):
         index = TextIndex(spark, shared_folder(spark, "text-index"))
         index.append(_units(spark, sf_dir), "all")
         _indexes[key] = index
