@@ -396,6 +396,32 @@ def test_sharding_of_equal_rows(spark):
     assert sorted(len(v) for v in pages.values()) == [1, 5, 10, 10] and all(sum(r.n_bytes for r in v) == v[0].shard_bytes for v in pages.values())
 
 
+@pytest.mark.parametrize("task_cells", [sharding.TASK_CELLS, 100])
+def test_sharding_writes_few_files(spark, documents, monkeypatch, task_cells):
+    """Sums and shards are written by as many tasks as their cells need, whatever the number of shuffle partitions; the shards are the same."""
+    plain, written, cut = ordered(sharding.shards(documents, 3000).collect()), [], sharding.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        written.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(sharding, "cut", counted)
+    monkeypatch.setattr(sharding, "TASK_CELLS", task_cells)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert ordered(sharding.shards(documents, 3000).collect()) == plain
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {label for label, _ in written} >= {"shard-sums", "shard-leaves"}
+    most = max(n for label, n in written if label in ("shard-sums", "shard-leaves"))
+    assert most == 1 if task_cells > 100 else 1 < most <= 40
+
+
 def test_sharding_directory(documents):
     assigned = sharding.shards(documents, 3000)
     entries = sharding.directory(assigned).collect()
