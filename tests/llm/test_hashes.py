@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from brute import ordered
+import pytest
+from brute import ordered, repeats
 
-from lexgraph.llm import quality, setjoin, textbatch, warc
+from lexgraph.llm import quality, setjoin, suffixes, textbatch, warc
 
 
 def complementary() -> tuple[str, str]:
@@ -49,6 +50,22 @@ def test_lines_made_to_collide(spark):
     assert len(set(textbatch.text_keys(two, np.array([0, 1024, 2048])).tolist())) == 2
 
 
+@pytest.mark.parametrize("max_classes", [65_536, 1])
+def test_segments_made_to_collide(spark, max_classes):
+    """Two texts of 400 bytes whose middles are Thue-Morse strings of two pairs of letters: 256 bytes are enough for a polynomial whose terms of the pairs agree in 22 bits. Nothing repeats but in the copy."""
+    a, b = complementary()
+    head = "bccl fxzvjitgtbsvfnumzxqlroqibalokmnqfrfhhafkfeqqlqvrfoznxqylzsllofymwxo"
+    tail = "uqhpipqq zlvoolsxrxopvhk w ftiypjjzw qrqqutsnjxgpqlvtcz kxa gxdbsubishvd"
+    texts = [head + x[:128].replace("a", "0W").replace("b", "5i") + tail for x in (a, b)]
+    rows = [(1, texts[0]), (2, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(suffixes.deduplicate(docs, max_classes=max_classes).drop("kept").collect()) == ordered(repeats(rows, 400))
+    rows += [(3, "x" + texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ordered(suffixes.deduplicate(docs, max_classes=max_classes).drop("kept").collect())
+    assert got == ordered(repeats(rows, 400)) and [r[2] for r in got] == [0, 400, 400]
+
+
 def test_reader_passes_on_by_bytes(tmp_path):
     """A batch of many records comes back in batches of bounded bytes."""
     folder = f"file://{tmp_path}"

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -83,6 +84,22 @@ def test_suffixes_short_strings(documents, texts):
     assert ordered(suffixes.deduplicate(documents, length=60, gram=16).drop("kept").collect()) == ordered(repeats(texts, 60))
 
 
+def test_suffix_rounds_in_bounded_memory():
+    """The columns of 4,096 segments take a few bytes a symbol beside the segments."""
+    rng = random.Random(3)
+    segments = [rng.randbytes(768) for _ in range(4095)]
+    segments.append(rng.randbytes(300) + segments[0][300:])
+    low, high = np.full(4096, -368), np.full(4096, 400)
+    tracemalloc.start()
+    try:
+        first, last = suffixes.repeated_windows(segments, low, high)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.flatnonzero(first <= last).tolist() == [0, 4095] and (first[0], last[0]) == (-68, 0)
+    assert peak < 10 * 4096 * 768
+
+
 def test_quality(documents, texts):
     got = quality_operator.quality_rules(documents).select(*BASE).collect()
     assert ordered(got) == ordered(quality(texts))
