@@ -9,9 +9,9 @@ the partition. Inside a group:
 3. Windows that would still be padded by more than ``slack`` tokens are opened again: their items are put in a row, cut into full windows, and the last
    ones into powers of two, which need no padding. So no sequence is padded by more than ``slack`` tokens, whatever the lengths are.
 
-The tokenizers library encodes. A text is cut where white space follows other characters; no match of the tokenizer's pattern crosses such a place, so
-each chunk is encoded by itself and short chunks are encoded once per worker. New chunks go to the library in rows of a hundred, and their ids are told apart
-by the bytes that the ids stand for.
+The tokenizers library's BPE model encodes. A slice of texts is cut, as bytes, into the matches of the pattern of the library's byte-level pre-tokenizer, which
+are encoded each by itself. Arrow tells the matches of a slice apart, so that only different ones are looked up; new ones go to the model in rows of a thousand, and
+their ids are told apart by the bytes that the ids stand for. Texts with characters whose class may differ between Unicode versions go to the library whole.
 
 Defined results: a null or empty text is a document of the end id alone; the names of special tokens are ordinary text; repeated rows are documents of their
 own; a null doc_id stays null; an empty table has no pieces; further columns are ignored. Sequence ids are unique, but not without gaps; they follow the number of
@@ -20,12 +20,15 @@ the input partition, so a task that runs again gives the same pieces when its ro
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +41,54 @@ WINDOW = 2048
 SLACK = 16
 GROUP_TOKENS = 4 << 20
 END_ID = 1
-#: Memory that a worker's kept chunks may take, and the longest chunk (in characters) that is kept; what is encoded doesn't depend on them.
+#: Memory that a worker's kept matches may take, beside those of one slice; what is encoded doesn't depend on it.
 CACHE_BYTES = 200 << 20
-CACHED_CHARS = 40
 _ENTRY_BYTES = 180
-#: Characters that may be classed otherwise by the library's Unicode version, or that only Python takes for white space: such a text isn't cut.
-UNSETTLED = re.compile(r"[^\x00-\x1b\x20-ԧ‐-‧ぁ-ゖァ-ヺ一-龥가-힣]")
-CHUNK = re.compile(r"\s*\S+|\s+")
-_ROW = 100
+#: Bytes of text whose matches are told apart together.
+SLICE_BYTES = 4 << 20
+#: Characters that may be classed otherwise by the library's Unicode version: such a text isn't cut.
+UNSETTLED = r"[^\x00-\x1b\x20-ԧ‐-‧ぁ-ゖァ-ヺ一-龥가-힣]"
+#: Classes of the pattern's characters, by code point: white space, letters, numbers, others.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+CLASSES = np.array([SPACE if c in (*range(9, 14), 0x20, 0x85, 0xA0) else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(1 << 16)], dtype=np.uint8)
+_ROW = 1000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def matches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where matches of ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` begin in each text of a slice (settled characters in UTF-8), and the slice's end."""
+    n = len(data)
+    kind = CLASSES[data]
+    two = np.flatnonzero(data >= 0xC0)
+    if len(two):
+        three = two[data[two] >= 0xE0]
+        two = two[data[two] < 0xE0]
+        kind[two] = kind[two + 1] = CLASSES[(data[two].astype(np.int64) & 31) << 6 | data[two + 1] & 63]
+        kind[three] = kind[three + 1] = kind[three + 2] = CLASSES[(data[three].astype(np.int64) & 15) << 12 | (data[three + 1].astype(np.int64) & 63) << 6 | data[three + 2] & 63]
+    edge = np.zeros(n + 4, dtype=bool)  # where texts begin; beyond the slice, too
+    edge[offsets] = edge[n:] = True
+    begins = edge.copy()
+    begins[1:n] |= kind[1:] != kind[:-1]
+    # the last white space before another character is a match, or the first character of the next match if it is 0x20
+    after = np.flatnonzero(begins[1:n] & ~edge[1:n] & (kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+    last = after - 1 - (data[after - 1] >= 0x80)
+    begins[last] = True
+    begins[after[data[last] == 0x20]] = False
+    # contractions, where a match begins with the apostrophe
+    at = np.flatnonzero(begins[:n] & (np.concatenate([data, [0]])[:n] == 0x27))
+    ahead = np.concatenate([data, np.zeros(3, np.uint8)])
+    one, next_one = ahead[at + 1], ahead[at + 2]
+    short = np.isin(one, list(b"stmd")) & ~edge[at + 1]
+    long = np.isin(one.astype(np.int64) << 8 | next_one, [0x7265, 0x7665, 0x6C6C]) & ~edge[at + 1] & ~edge[at + 2]
+    begins[at[short | long] + 1] = False
+    begins[at[short] + 2] = True
+    begins[at[long] + 3] = True
+    return np.flatnonzero(begins[: n + 1])
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by a tokenizer file of the tokenizers library."""
+    """Ids of texts as little-endian unsigned 32-bit integers, by a file of the tokenizers library for byte-level BPE."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -59,49 +96,66 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        kind = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or kind.get("type") != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"]:
+            raise ValueError(f"{path}: not the plain byte-level pre-tokenizer")
+        self.model = Tokenizer(self.library.model)  # of matches whose bytes are shown as characters
         of = {c: b for b, c in enumerate(byte_characters())}
+        self.shown = {b: c for c, b in of.items()}
         self.long = np.zeros(self.library.get_vocab_size(), dtype=np.int64)
         for token, number in self.library.get_vocab(with_added_tokens=False).items():
             self.long[number] = sum(c in of for c in token)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _row_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with white space and end without: written one after the other, they stay chunks."""
-        rows = [chunks[i : i + _ROW] for i in range(0, len(chunks), _ROW)]
-        out = []
-        for row, found in zip(rows, self.library.encode_batch_fast(["".join(x) for x in rows], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.cumsum([len(x.encode()) for x in row])
-            stops = (np.searchsorted(np.cumsum(self.long[ids]), ends) + 1) * 4
-            packed, start = ids.tobytes(), 0
-            for stop in stops.tolist():
-                out.append(packed[start:stop])
-                start = stop
-        return out
-
-    def packed(self, texts: list[str]) -> list[bytes]:
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known`` has the place of a match's ids in ``ids``: where they begin, times 2**31, and how many they are."""
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.used = self.held = 0
+
+    def _learn(self, new: list[bytes]) -> list[int]:
+        shown = "\u0200".join([x.decode("latin-1") for x in new]).translate(self.shown).split("\u0200")
+        rows = [shown[i : i + _ROW] for i in range(0, len(shown), _ROW)]
+        ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in self.model.encode_batch_fast(rows, is_pretokenized=True, add_special_tokens=False)])
+        ends = np.cumsum(list(map(len, new)))
+        stop = np.searchsorted(np.cumsum(self.long[ids]), ends) + 1
+        start = np.concatenate([[0], stop[:-1]])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + len(ids), dtype="<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        places = ((self.used + start) << 31 | (stop - start)).tolist()
+        self.used += len(ids)
+        self.held += _ENTRY_BYTES * len(new) + int(ends[-1]) + 4 * len(ids)
+        self.known.update(zip(new, places, strict=True))
+        return places
+
+    def _settled(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         if self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
-        parts = [[x] if UNSETTLED.search(x) else CHUNK.findall(x) for x in texts]
-        new = set().union(*parts).difference(self.known)
-        plain = [x for x in new if x[0].isspace() and not x[-1].isspace() and not UNSETTLED.search(x)]
-        other = list(new.difference(plain))
-        once: dict[str, bytes] = {}
-        for chunks, ids in ((plain, self._row_ids(plain)), (other, self._each(other))):
-            for chunk, found in zip(chunks, ids, strict=True):
-                if len(chunk) <= CACHED_CHARS:
-                    self.known[chunk] = found
-                    self.held += _ENTRY_BYTES + len(chunk) + len(found)
-                else:
-                    once[chunk] = found
-        if once:
-            return [b"".join([self.known[x] if x in self.known else once[x] for x in p]) for p in parts]
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+            self._forget()
+        begins = matches(data, offsets)
+        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)]).dictionary_encode()
+        different = cells.dictionary.to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.known.get, different, itertools.repeat(-1)), np.int64, len(different))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = self._learn(different[new].tolist())
+        which = np.asarray(cells.indices)
+        count = (place & ((1 << 31) - 1))[which]
+        stop = np.concatenate([[0], np.cumsum(count)])
+        packed = self.ids[np.arange(stop[-1]) + np.repeat((place >> 31)[which] - stop[:-1], count)].tobytes()
+        ends = 4 * stop[np.searchsorted(begins, offsets)]
+        return [packed[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+    def packed(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text; a null is empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+        texts.validate(full=True)  # bytes that are no UTF-8 are an error
+        apart = pc.match_substring_regex(texts, UNSETTLED)
+        whole = iter(self.library.encode_batch_fast(texts.filter(apart).to_pylist(), add_special_tokens=False))
+        plain = pa.RecordBatch.from_arrays([texts.filter(pc.invert(apart))], names=["text"])
+        cut = itertools.chain.from_iterable(self._settled(data, offsets) for _, data, offsets in tb.slices(plain, "text", SLICE_BYTES))
+        return [np.array(next(whole).ids, dtype="<u4").tobytes() if a else next(cut) for a in apart.to_pylist()]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -230,9 +284,8 @@ def sequences(docs: DataFrame, path: str, window: int = WINDOW, slack: int = SLA
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for rows, _, _ in tb.slices(batch, "text"):
-                texts = rows.column(1).to_pylist()
-                for number, found in zip(rows.column(0).to_pylist(), encode([x or "" for x in texts]), strict=True):
+            for rows, _, _ in tb.slices(batch, "text", SLICE_BYTES):
+                for number, found in zip(rows.column(0).to_pylist(), encode(rows.column(1)), strict=True):
                     if ids and held + len(found) // 4 + 1 > group_tokens:
                         yield flush()
                     ids.append(number)

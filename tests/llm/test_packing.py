@@ -67,6 +67,43 @@ def test_encoding():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed(texts)] == want
 
 
+class Counted:
+    """The library's tokenizer, with the number of characters that it was given."""
+
+    def __init__(self, inner):
+        self.inner, self.characters = inner, 0
+
+    def encode_batch_fast(self, batch, **options):
+        self.characters += sum(len(x) if isinstance(x, str) else sum(map(len, x)) for x in batch)
+        return self.inner.encode_batch_fast(batch, **options)
+
+
+def test_a_match_is_encoded_once():
+    """Whatever stands beside it: words with other punctuation, in other texts, or at a text's start are no new work."""
+    encoder = packing.Encoder(PATH)
+    words = [f" w{chr(97 + i % 26) * (i % 7 + 1)}" for i in range(60)]
+    texts = ["".join(w + mark for w in words) for mark in ("", ",", ".", ";", "!?", "'s", "\n", ")\n\n ", " (")]
+    want = [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    counts = [Counted(getattr(encoder, x, None)) for x in ("library", "model")]
+    encoder.library, encoder.model = counts
+    for part in (texts[:4], texts[4:], texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed(part)] == want[texts.index(part[0]) :][: len(part)]
+    assert sum(x.characters for x in counts) <= sum(map(len, {*words, ",", ".", ";", "!?", "'s", "\n", ")", "\n\n", " (", " ", "("}))
+
+
+def test_matches():
+    """The pattern's matches by classes of bytes, against the library's own, with contractions and white space of every kind; and with little room for what is kept."""
+    encoder = packing.Encoder(PATH)
+    pools = [" '\nstmdrevlLS1.", "  ' \xa0\x85\t'srevlmdt x漢가ひ‐’é\x1f\x00Ȁ", "ab ½٣1-\n\r\n  '"]
+    rng = random.Random(7)
+    texts = ["", *("".join(rng.choice(pool) for _ in range(rng.randrange(40))) for pool in pools for _ in range(1500))]
+    want = [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 900):
+        encoder.held += packing.CACHE_BYTES // 2
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed(texts[i : i + 900])] == want[i : i + 900]
+    assert encoder.packed([""]) == [b""] and encoder.packed([]) == []
+
+
 @pytest.mark.parametrize("group_tokens", [1 << 20, 4000])
 def test_sequences(spark, group_tokens):
     encoder = packing.Encoder(PATH)
