@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from lexgraph.storage import kept, with_workers
 
-from . import retrieval
+from . import nearest, retrieval
 
 #: Vectors that centroids are fitted on, at most (in expectation); vectors whose own neighbours measure the recall.
 SAMPLE = 100_000
 MEASURED = 200
+#: Probed lists of queries, two numbers each, that one pass sends to every task.
+PAIRS = 1_000_000
 #: Room for the rounding of scores (six places) and of distances.
 ROOM = 2e-6
 
@@ -91,14 +93,36 @@ class VectorIndex:
         return asked.mapInArrow(run, "query_id long, list int, distance double")
 
     def _scored(self, probed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """The k best of the probed lists, with exact scores. Queries are sent in blocks, as by exact search."""
-        wanted = kept(probed.join(queries.select("query_id", "query_vector"), "query_id").select("query_id", "query_vector", "list"), "probed")
-        lists = [r[0] for r in wanted.select("list").distinct().collect()]  # at most as many as there are centroids
-        blocks = -(-wanted.count() // retrieval.QUERY_BLOCK) or 1
+        """The k best of the probed lists, with exact scores. Queries (with distinct ids) are sent in blocks, as by exact search, of at most ``PAIRS`` probed lists."""
+        pairs = kept(probed.select("query_id", "list"), "probed")
+        n, asking = pairs.agg(F.count("*"), F.count_distinct("query_id")).first()
+        blocks = max(-(-asking // retrieval.QUERY_BLOCK), -(-n // PAIRS)) or 1
+        size = self.centroids.shape[1]
+        whole = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"))
+        even, plain = nearest.regular("embedding", size), nearest.regular("query_vector", size)
+        odd_vectors, odd_queries = not self.vectors().where(~even).isEmpty(), not whole.where(F.size("query_vector") == size).where(~plain).isEmpty()
         best = None
         for block in range(blocks):
-            part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-            met = self.vectors(lists).join(F.broadcast(part), "list").select("query_id", "id", F.round(retrieval.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("dense_score"))
+            mine = lambda df: df if blocks == 1 else df.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)  # noqa: E731, B023
+            part = mine(pairs)
+            asked = mine(whole).where(plain).toArrow()
+            table = part.toArrow()
+            ids = asked.column("query_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            of, lists = table.column("query_id").to_numpy(), table.column("list").to_numpy()
+            at = np.minimum(np.searchsorted(ids[order], of), max(len(ids) - 1, 0))
+            known = ids[order[at]] == of if len(ids) else np.zeros(len(of), bool)
+            numbers, lists_of = order[at[known]] if len(ids) else at[known], lists[known]
+            turn = np.argsort(lists_of, kind="stable")
+            found, starts = np.unique(lists_of[turn], return_index=True)
+            probing = {int(x): y for x, y in zip(found, np.split(numbers[turn], starts[1:]), strict=True)} if len(found) else {}
+            read = self.vectors(sorted(set(lists.tolist())))
+            met = nearest.best_pairs(read.where(even), asked, size, k, probing).select("query_id", "id", F.round("score", 6).alias("dense_score"))
+            one_by_one = lambda v, q: v.join(q.join(part, "query_id"), "list").select("query_id", "id", F.round(retrieval.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("dense_score"))  # noqa: E731, B023
+            if odd_vectors:
+                met = met.union(one_by_one(read.where(~even), mine(whole)))
+            if odd_queries:
+                met = met.union(one_by_one(read.where(even), mine(whole).where(~plain)))
             ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("dense_score"), "id"))).where(F.col("rank") <= k)
             best = ranked if best is None else best.union(ranked)
         return best
@@ -117,19 +141,22 @@ class VectorIndex:
         every = self._probed(queries, len(self.centroids)).join(reach, "query_id", "left").join(balls, "list")
         return self._scored(every.where(F.col("distance") - F.col("radius") <= F.coalesce("reach", F.lit(4.0))).select("query_id", "list"), queries, k)
 
-    def recall(self, queries: DataFrame, k: int, probes: int | None = None) -> float:
-        """The share of exact neighbours that the probed lists give, over all queries."""
-        exact = retrieval.knn(self.vectors().select("id", "embedding"), queries, k).select("query_id", "id")
+    def _exact(self, queries: DataFrame, k: int) -> DataFrame:
+        return kept(retrieval.knn(self.vectors().select("id", "embedding"), queries, k).select("query_id", "id"), "exact")
+
+    def recall(self, queries: DataFrame, k: int, probes: int | None = None, exact: DataFrame | None = None) -> float:
+        """The share of exact neighbours that the probed lists give, over all queries. ``exact``: these neighbours, if they are known."""
+        exact = self._exact(queries, k) if exact is None else exact
         found = self.search(queries, k, probes).select("query_id", "id")
-        wanted, got = kept(exact, "exact").count(), exact.join(found, ["query_id", "id"], "left_semi").count()
+        wanted, got = exact.count(), exact.join(found, ["query_id", "id"], "left_semi").count()
         return got / wanted if wanted else 1.0
 
     def calibrate(self, k: int, target: float = 0.95, measured: int = MEASURED) -> float:
         """Double the probes until ``measured`` stored vectors (those of the smallest hashes) find ``target`` of their neighbours; the recall that was reached."""
         some = kept(self.vectors().orderBy(F.xxhash64("id"), "id").limit(measured).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), "measured")
-        probes = 1
+        probes, exact = 1, self._exact(some, k)
         while True:
-            reached = self.recall(some, k, probes)
+            reached = self.recall(some, k, probes, exact)
             if reached >= target or probes >= len(self.centroids):
                 self.probes = min(probes, len(self.centroids))
                 return reached
